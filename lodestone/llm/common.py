@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose workers find this package: beside the path that executors have of their own (--py-files
+    on a cluster), they look where the driver has it."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(batches, schema)
+
+
 def utf8_views(column: pa.Array) -> Iterator[np.ndarray | None]:
     """The UTF-8 bytes of every row of a string column, None for null, without copies."""
     if isinstance(column, pa.ChunkedArray):

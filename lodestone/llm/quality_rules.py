@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_views
+from .common import map_arrow, utf8_views
 from .textkernel import SPACE, ngrams, spans, word_hashes
 
 WINDOW = 8
@@ -103,7 +103,7 @@ def text_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sou
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], names=[*keep, *schema.names])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*keep, "text").mapInArrow(batches, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} bigint" for c in COUNTS)]))
+    return map_arrow(docs.select(*keep, "text"), batches, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} bigint" for c in COUNTS)]))
 
 
 def bin_sql(value: str) -> str:

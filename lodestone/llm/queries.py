@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,3 +13,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id as ppm
+
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.train(docs.filter(~ppm.held_out(F.col("doc_id"))))
+    found = ppm.identify(docs, model)
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_classifier as qda
+    from .language_id import remainder
+
+    featured = written(qda.document_features(table(spark, sf_dir, "documents")), "features")
+    apart = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~apart).select("doc_id", F.col("quality").alias("label"))
+    model = qda.fit(featured.join(labels, "doc_id"))
+    return qda.score(featured, model).select("doc_id", apart.alias("held_out"), "score", "predicted")

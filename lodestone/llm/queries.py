@@ -33,3 +33,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~apart).select("doc_id", F.col("quality").alias("label"))
     model = qda.fit(featured.join(labels, "doc_id"))
     return qda.score(featured, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_store
+
+    docs = table(spark, sf_dir, "documents")
+    return token_store.read(token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontaminate
 from . import quality_rules as rules
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -38,7 +39,24 @@ chosen AS MATERIALIZED (SELECT g.lang AS glang, g.source AS gsource, CASE WHEN g
 judged AS MATERIALIZED (SELECT rated.*, coalesce(NOT base_failed AND {within}, false) AS kept FROM rated LEFT JOIN chosen ON lang IS NOT DISTINCT FROM glang AND source IS NOT DISTINCT FROM gsource)"""
 
 
+def decontamination_sql(docs: str = "documents", given: str = "") -> str:
+    """A WITH clause body that ends in ``contaminations``: windows by their words, no prefixes or hashes."""
+    tokens = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    n = decontaminate.WINDOW
+    return f"""
+dw AS MATERIALIZED (SELECT doc_id, {tokens} AS w FROM {docs}),
+bw AS MATERIALIZED (SELECT item_id, {tokens} AS w FROM benchmark),
+wins AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), {n}) AS size, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {n - 2}, 2))) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM wins),
+places AS (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes WHERE len(w) >= size)),
+found AS MATERIALIZED (SELECT doc_id, item_id, i, size FROM places JOIN wins USING (size, g)),
+hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM found, range({n}) t(o) WHERE o < size GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id),
+contaminations AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
+        "op3_decontaminate": f"WITH {decontamination_sql()} SELECT * FROM contaminations",
     }

@@ -50,3 +50,9 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return token_store.read(token_store.write(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

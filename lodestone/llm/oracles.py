@@ -55,8 +55,22 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 contaminations AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id))"""
 
 
+def jaccard_sql(docs: str = "documents", n: int = 3, p: int = 90, q: int = 100) -> str:
+    """A WITH clause body that ends in ``linked``: every pair with a common n-gram, by the n-grams themselves."""
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+jw AS MATERIALIZED (SELECT doc_id, regexp_extract_all({text}, '{_WORD}') AS w FROM {docs}),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 2}, 2))) AS i FROM jw WHERE len(w) > 0)),
+card AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS MATERIALIZED (SELECT x, y FROM common JOIN card a ON a.doc_id = x JOIN card b ON b.doc_id = y WHERE {q} * k >= {p} * (a.n + b.n - k)),
+reach AS (SELECT doc_id, doc_id AS root FROM jw UNION SELECT y, root FROM reach JOIN near ON x = doc_id),
+linked AS MATERIALIZED (SELECT jw.doc_id, coalesce(card.n, 0) AS n_shingles, least_root AS component_id FROM jw LEFT JOIN card USING (doc_id) JOIN (SELECT doc_id, min(root) AS least_root FROM reach GROUP BY doc_id) USING (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
+        "op1_ngram_join": f"WITH RECURSIVE {jaccard_sql()} SELECT * FROM linked",
         "op3_decontaminate": f"WITH {decontamination_sql()} SELECT * FROM contaminations",
     }

@@ -62,3 +62,25 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, p=90, q=100)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+#: The rules of op8, fixed by its contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))

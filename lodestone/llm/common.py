@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -32,13 +33,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing lazy depends on any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids (8 bytes each, some 20 in Spark's table) up to which a set of ids is broadcast; beyond it, joins are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """df joined (inner, left_semi, left_anti) to ids (id, ..), a written table that is counted."""
+    wanted = ids.withColumnRenamed("id", key)
+    return df.join(broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, key, how)
+
+
 def map_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
     """mapInArrow whose workers find this package: beside the path that executors have of their own (--py-files
     on a cluster), they look where the driver has it."""

@@ -12,7 +12,7 @@ Training reads the whole texts of a bounded sample of the labelled rows: SAMPLE_
 expected, chosen by a hash of doc_id. Counts merge by addition over tasks. The compiled trees keep the
 MAX_CONTEXTS most frequent contexts of each order (a bound of the model, not of the data).
 
-Defined results: null text or text without a letter is `und` with score 0, as is everything if nothing was
+Defined results: zero bytes count as bytes never seen; null text or text without a letter is `und` with score 0, as is everything if nothing was
 learned; repeated rows get equal results; a tie goes to the first language in string order; empty tables give
 empty results; extra columns are never read."""
 
@@ -125,20 +125,17 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
 
 def compile_model(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
     languages = sorted(set(langs))
-    which = np.searchsorted(languages, langs) if languages else np.empty(0, np.int64)
-    octets = np.stack([(grams >> (8 * (ORDER - j))) & 255 for j in range(ORDER + 1)]) if len(grams) else np.empty((ORDER + 1, 0), np.int64)
+    if not languages:
+        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+    # Padding is byte 0, so zero bytes of texts are not learned.
+    learned = (grams & 255) > 0
+    which, grams, counts = np.searchsorted(languages, langs)[learned], grams[learned], counts[learned]
+    octets = np.stack([(grams >> (8 * (ORDER - j))) & 255 for j in range(ORDER + 1)])
     classes = np.zeros(256, np.int64)
     seen = np.unique(octets[ORDER])
     classes[seen] = np.arange(1, len(seen) + 1)
     a = len(seen) + 1
-    # Padding is byte 0 in a gram; as a context it must stay unknown, which class 0 is. A zero byte inside a text
-    # shares that class as a context and keeps its own as a symbol only.
-    as_context = classes.copy()
-    as_context[0] = 0
-    symbol, before = classes[octets[ORDER]], as_context[octets[:ORDER]]
-    classes_for_text = classes.copy()
-    if classes[0]:
-        classes_for_text[0] = 0
+    symbol, before = classes[octets[ORDER]], classes[octets[:ORDER]]
 
     context = np.zeros(a**ORDER, np.int32)
     cost = np.full((1, a, len(languages)), 8.0)
@@ -169,11 +166,9 @@ def compile_model(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Mo
             own = np.where(n > 0, -np.log2(n / (total + distinct)), escape + below)
         first = 0 if depth == 0 else len(cost)
         cost = own if depth == 0 else np.concatenate([cost, own])
-        if not len(cost):  # nothing was learned
-            cost = np.full((1, a, len(languages)), 8.0)
         context = _extend(context, a, depth, nodes[kept], first)
         tables.append(_finder(nodes[kept], first, tables[-1] if tables else None, a, depth))
-    return Model(languages, classes_for_text, context, cost.reshape(-1, len(languages)).astype(np.float32))
+    return Model(languages, classes, context, cost.reshape(-1, len(languages)).astype(np.float32))
 
 
 def _finder(nodes: np.ndarray, first: int, shorter, a: int, depth: int):
@@ -225,6 +220,11 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return map_arrow(docs.select(*kept), batches, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string, score double, bits_per_byte double"]))
 
 
+def accepted():
+    """Whether an identified document is text in one of the learned languages."""
+    return (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5) & (F.col("bits_per_byte") <= FOREIGN_BITS)
+
+
 def remainder(doc_id, by: int):
     """crc32 of doc_id as text, modulo ``by``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % by

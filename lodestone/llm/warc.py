@@ -179,7 +179,9 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield made(rows)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + (", payload binary" if with_payload else "")
-    return map_arrow(manifest.select("path").repartition(F.col("path")), batches, schema)
+    # a number of parts that adaptive execution leaves alone, so that few files aren't read by one task
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(manifest.select("path").repartition(parts, "path"), batches, schema)
 
 
 def restored(records: DataFrame) -> DataFrame:

@@ -54,10 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
-    """df joined (inner, left_semi, left_anti) to ids (id, ..), a written table that is counted."""
+def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df joined (inner, left, left_semi, left_anti) to ids (id, ..), a written table with a row an id, which is counted:
+    broadcast up to ``limit`` rows. As ids is written, the shuffled join stands alone on its exchanges, and adaptive
+    execution can split a key that a large share of df has."""
     wanted = ids.withColumnRenamed("id", key)
-    return df.join(broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, key, how)
+    return df.join(broadcast(wanted) if ids.count() <= limit else wanted, key, how)
 
 
 def map_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:

@@ -29,22 +29,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8_views, written
+from .common import by_ids, discard, map_arrow, utf8_views, written
 from .components import components
 from .textkernel import LOWER, mix, ngrams, spans, word_hashes
 
 U = np.uint64
-SHOWN, TABLE = 4, 1 << 16
+SHOWN, TABLE = 3, 1 << 19
 #: Classes with a prefix token in common beyond which they are compared with a centre instead of in pairs.
 CROWD = 128
-#: Document ids (8 bytes each, some 20 in Spark's table) up to which a set of ids is broadcast.
-BROADCAST_IDS = 2_000_000
+#: Centres (some kilobytes each) up to which they are broadcast.
+CENTRES = 4_000
 _SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -174,13 +175,6 @@ def pairs(small: DataFrame, p: int, q: int) -> DataFrame:
     return met.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")).distinct()
 
 
-def _semi(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of table whose key is among ids (id), which is a written table of distinct ids."""
-    small = ids.count() <= BROADCAST_IDS
-    wanted = ids.select(F.col("id").alias(key))
-    return table.join(F.broadcast(wanted) if small else wanted, key, "left_semi")
-
-
 def filtered(candidates: DataFrame, live: DataFrame) -> DataFrame:
     """Candidates that share prefix tokens under the second and the third order as well."""
     x = live.select(F.col("cid").alias("x"), F.col("second").alias("x2"), F.col("third").alias("x3"))
@@ -189,26 +183,38 @@ def filtered(candidates: DataFrame, live: DataFrame) -> DataFrame:
     return both.filter(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y")
 
 
-def verified(candidates: DataFrame, texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Candidates (x, y) whose full sets have a similarity of P / Q or more. texts: (cid, text)."""
-    x = texts.select(F.col("cid").alias("x"), F.col("text").alias("x_text"))
-    y = texts.select(F.col("cid").alias("y"), F.col("text").alias("y_text"))
-    both = candidates.join(y, "y").join(x, "x").select("x", "y", "x_text", "y_text")
+def oriented(candidates: DataFrame) -> DataFrame:
+    """Candidates (x, y) as (home, other): home is the end with more candidates, so that few texts are homes."""
+    degree = candidates.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    x, y = degree.select(F.col("id").alias("x"), F.col("n").alias("nx")), degree.select(F.col("id").alias("y"), F.col("n").alias("ny"))
+    both = candidates.join(x, "x").join(y, "y")
+    first = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    return both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("home"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"))
+
+
+def verified(pairs_at_home: DataFrame, homes: DataFrame, texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """Candidates (home, other), a written table as is homes (id), whose full sets have a similarity of P / Q or more.
+
+    A home's own text comes first in its run of rows, then those of its candidates: every text is shuffled once as a
+    home and once for each of its homes. texts: (cid, text)."""
+    guests = by_ids(texts, "cid", pairs_at_home.withColumnRenamed("other", "id"), "inner").select("home", F.col("cid").alias("other"), "text")
+    hosts = by_ids(texts, "cid", homes, "left_semi").select(F.col("cid").alias("home"), F.lit(None).cast("bigint").alias("other"), "text")
+    runs = hosts.unionByName(guests).repartition("home").sortWithinPartitions("home", F.col("other").asc_nulls_first())
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.empty(0, np.uint64)
+        own = np.empty(0, np.uint64)
         for batch in stream:
-            xs, ys, kept = batch.column("x").to_pylist(), batch.column("y").to_pylist(), []
-            for i, (a, b) in enumerate(zip(utf8_views(batch.column("x_text")), utf8_views(batch.column("y_text")), strict=True)):
-                if xs[i] != last:
-                    last, own = xs[i], tokens(a, n)
-                other = tokens(b, n)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                kept.append(q * shared >= p * (len(own) + len(other) - shared) and shared > 0)
+            homes, others, kept = batch.column("home"), batch.column("other"), []
+            for other, view in zip(others.to_pylist(), utf8_views(batch.column("text")), strict=True):
+                found = tokens(view, n)
+                if other is None:
+                    own = found
+                shared = 0 if other is None else len(np.intersect1d(own, found, assume_unique=True))
+                kept.append(shared > 0 and q * shared >= p * (len(own) + len(found) - shared))
             mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()).filter(mask), pa.array(ys, pa.int64()).filter(mask)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([homes.filter(mask), others.filter(mask)], names=["u", "v"])
 
-    return map_arrow(both, batches, "u bigint, v bigint")
+    return map_arrow(runs, batches, "u bigint, v bigint")
 
 
 def token_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -222,26 +228,33 @@ def token_sets(texts: DataFrame, n: int) -> DataFrame:
     return map_arrow(texts.select("cid", "text"), batches, "cid bigint, size bigint, tokens array<bigint>")
 
 
-def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (crowd, cid) -> star links (u, v), candidate pairs (x, y), and members of crowds within the crowds."""
+class CrowdStep(NamedTuple):
+    stars: DataFrame  # links (u, v)
+    pairs: DataFrame  # candidates (x, y)
+    deeper: DataFrame  # members (crowd, cid) of crowds within the crowds
+    scratch: list[DataFrame]
+
+
+def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> CrowdStep:
+    """members (crowd, cid) against the crowds' centres; sets: (cid, size, tokens)."""
     sized = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("m"))
     held = members.join(sets, "cid")
     shares = held.select("crowd", F.explode("tokens").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("k"))
-    centre = shares.join(sized, "crowd").filter("2 * k >= m").groupBy("crowd").agg(F.collect_list("token").alias("centre"))
     # a centre has at most twice as many tokens as a member has on average
-    off = held.join(centre, "crowd", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    centre = written(shares.join(sized, "crowd").filter("2 * k >= m").groupBy(F.col("crowd").alias("id")).agg(F.collect_list("token").alias("centre")), "centres")
+    off = by_ids(held, "crowd", centre, "left", CENTRES).withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
     d = F.concat(F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))
     off = off.select("crowd", "cid", "size", d.alias("d")).withColumn("w", (p + q) * F.size("d") - (q - p) * F.col("size"))
     off = written(off, "crowds")
 
-    best = off.groupBy("crowd").agg(F.min(F.struct("w", "cid")).alias("b")).select("crowd", F.col("b.w").alias("bw"), F.col("b.cid").alias("b"))
-    judged = off.select("crowd", "cid", "size", "w", "d").join(best, "crowd")
+    best = written(off.groupBy(F.col("crowd").alias("id")).agg(F.min(F.struct("w", "cid")).alias("b")).select("id", F.col("b.w").alias("bw"), F.col("b.cid").alias("b")), "best")
+    judged = by_ids(off, "crowd", best, "inner")
     stars = judged.filter("cid <> b AND w + bw <= 0").select(F.col("cid").alias("u"), F.col("b").alias("v"))
     far = judged.withColumn("far", F.col("w") + F.col("bw") > 0)
-    least_far = far.filter("far").groupBy("crowd").agg(F.min("w").alias("fw"))
-    far = far.join(least_far, "crowd")  # crowds in which all link to the best are done
+    least_far = written(far.filter("far").groupBy(F.col("crowd").alias("id")).agg(F.min("w").alias("fw")), "least-far")
+    far = by_ids(far, "crowd", least_far, "inner")  # crowds in which all link to the best are done
 
-    local = off.select("crowd", F.explode("d").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("k"))
+    local = written(off.select("crowd", F.explode("d").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("k")), "shares")
     each = far.select("crowd", "cid", "size", "w", "bw", "fw", "far", F.size("d").alias("nd"), F.explode("d").alias("token")).join(local, ["crowd", "token"])
     each = each.withColumn("pos", F.row_number().over(Window.partitionBy("crowd", "cid").orderBy("k", "token")) - 1).filter("k > 1")
     share = lambda a, b: F.ceil((F.col(a) + F.col(b)) / (2 * (p + q)))
@@ -249,15 +262,17 @@ def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> tuple[Dat
     entries = written(entries.filter("long OR short").select(F.xxhash64("crowd", "token").alias("crowd"), "cid", "size", "w", "nd", "pos", "far", "long", "short"), "differences")
 
     counts = entries.groupBy("crowd").agg(F.sum(F.col("long").cast("bigint")).alias("l"), F.sum(F.col("short").cast("bigint")).alias("s"))
-    counts = counts.filter("l > 0 AND s > 0 AND l + s > 1").withColumn("deep", F.col("l") * F.col("s") > CROWD * CROWD)
-    told = entries.join(counts.select("crowd", "deep"), "crowd")
+    counts = counts.filter("l > 0 AND s > 0 AND l + s > 1").select(F.col("crowd").alias("id"), (F.col("l") * F.col("s") > CROWD * CROWD).alias("deep"))
+    counts = written(counts, "inner-crowds")
+    told = by_ids(entries, "crowd", counts, "inner")
     deeper = told.filter("deep").select("crowd", "cid").distinct()
     x, y = told.filter("NOT deep AND long").alias("x"), told.filter("NOT deep AND short").alias("y")
     need = F.ceil((F.col("x.w") + F.col("y.w")) / (2 * (p + q)))
     fits = (F.col("x.pos") <= F.col("x.nd") - need) & (F.col("y.pos") <= F.col("y.nd") - need)
     close = (q * F.col("x.size") >= p * F.col("y.size")) & (q * F.col("y.size") >= p * F.col("x.size"))
     met = x.join(y, (F.col("x.crowd") == F.col("y.crowd")) & (F.col("x.cid") != F.col("y.cid")) & fits & close)
-    return stars, met.select(F.least("x.cid", "y.cid").alias("x"), F.greatest("x.cid", "y.cid").alias("y")).distinct(), deeper
+    couples = met.select(F.least("x.cid", "y.cid").alias("x"), F.greatest("x.cid", "y.cid").alias("y")).distinct()
+    return CrowdStep(stars, couples, deeper, [centre, off, best, least_far, local, entries, counts])
 
 
 def links(docs: DataFrame, surveyed: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -265,28 +280,40 @@ def links(docs: DataFrame, surveyed: DataFrame, n: int, p: int, q: int) -> DataF
     often, count = frequent(surveyed)
     named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
     posted = written(postings(named, often, count), "postings")
-    ids = written(posted.select(F.col("cid").alias("id")).distinct(), "live")
-    live = written(_semi(named.select("cid", "second", "third"), "cid", ids), "live-prefixes")
-    texts = written(_semi(docs.select(F.col("doc_id").cast("bigint").alias("cid"), "text").filter("cid IS NOT NULL"), "cid", ids), "live-texts")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("cid"), "text").filter("cid IS NOT NULL")
 
-    candidates = pairs(posted.filter(F.col("crowd") <= CROWD), p, q)
-    found = []
+    couples = [written(pairs(posted.filter(F.col("crowd") <= CROWD), p, q), "pairs")]
+    scratch, stars = [named, posted, *couples], []
     members = posted.filter(F.col("crowd") > CROWD).select(F.col("token").alias("crowd"), "cid")
     while True:
         # crowds of the same classes are one
         marks = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("m"), F.sum((F.xxhash64("cid") % 1_000_000_007).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("cid")).alias("h"))
         one = marks.groupBy("m", "s", "h").agg(F.min("crowd").alias("crowd")).select("crowd")
         members = written(members.join(one, "crowd", "left_semi"), "members")
+        scratch.append(members)
         if members.isEmpty():
             break
-        sets = token_sets(texts.join(members.select("cid").distinct(), "cid", "left_semi"), n)
-        stars, more, members = crowd_step(members, sets, p, q)
-        found.append(stars)
+        ids = written(members.select(F.col("cid").alias("id")).distinct(), "member-ids")
+        step = crowd_step(members, token_sets(by_ids(texts, "cid", ids, "left_semi"), n), p, q)
+        stars.append(written(step.stars, "stars"))
+        couples.append(written(step.pairs, "pairs"))
+        members = step.deeper
+        scratch += [ids, stars[-1], couples[-1], *step.scratch]
+
+    candidates = couples[0]
+    for more in couples[1:]:
         candidates = candidates.unionByName(more)
-    checked = verified(filtered(candidates.distinct(), live), texts, n, p, q)
-    for stars in found:
-        checked = checked.unionByName(stars)
-    return written(checked, "links")
+    ends = candidates.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    met = written(ends, "met")
+    passed = written(filtered(candidates.distinct(), by_ids(named.select("cid", "second", "third"), "cid", met, "left_semi")), "passed")
+    at_home = written(oriented(passed), "at-home")
+    homes = written(at_home.select(F.col("home").alias("id")).distinct(), "homes")
+    checked = verified(at_home, homes, texts, n, p, q)
+    for more in stars:
+        checked = checked.unionByName(more)
+    found = written(checked, "links")
+    discard(*scratch, met, passed, at_home, homes)
+    return found
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
@@ -296,7 +323,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -
     rooted = components(edges)
     each = surveyed.filter("is_doc").select("doc_id", "size", "digest")
     named = each.filter("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"))
-    of = named.join(rooted.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("root", "cid").alias("root"))
-    joined = each.join(of, "digest", "left")
+    of = named.join(rooted.withColumnRenamed("node", "cid"), "cid", "left").select(F.col("digest").alias("id"), F.coalesce("root", "cid").alias("root"))
+    joined = by_ids(each, "digest", written(of, "roots"), "left", 0)  # a row a class: always shuffled
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))

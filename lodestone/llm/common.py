@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,11 +63,34 @@ def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str, limit: int = BROAD
     return df.join(broadcast(wanted) if ids.count() <= limit else wanted, key, how)
 
 
+#: Rows in an Arrow batch at most: bounds what a task holds of texts at once, on either side.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system; workers live on between tasks, and what they keep adds up."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
-    """mapInArrow whose workers find this package: beside the path that executors have of their own (--py-files
-    on a cluster), they look where the driver has it."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(batches, schema)
+    """mapInArrow in batches of BATCH_ROWS whose workers find this package: beside the path that executors have of
+    their own (--py-files on a cluster), they look where the driver has it."""
+    spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from batches(stream)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def utf8_views(column: pa.Array) -> Iterator[np.ndarray | None]:

@@ -16,7 +16,7 @@ Documents are sets of word n-grams; two link when their Jaccard similarity is at
   (W(x) + W(y)) / (2 (P + Q)) > 0 tokens of difference, so prefixes of the differences, rarest in the crowd first,
   are joined in turn. A token of difference is one of at most half the crowd, so that crowds in crowds shrink.
 
-Frequency estimates: tokens that occur in SHOWN or more documents of an Arrow batch are summed over all batches,
+Frequency estimates: tokens that occur in SHOWN or more documents of a run of RUN tokens are summed over all runs,
 and the TABLE most frequent of them make the first order; all other tokens count as rare. Estimates bear on
 speed, never on results. Exact copies, crowds and stars cost rows in proportion to their documents.
 
@@ -41,7 +41,7 @@ from .components import components
 from .textkernel import LOWER, mix, ngrams, spans, word_hashes
 
 U = np.uint64
-SHOWN, TABLE = 3, 1 << 19
+SHOWN, TABLE, RUN = 3, 1 << 19, 1 << 22
 #: Classes with a prefix token in common beyond which they are compared with a centre instead of in pairs.
 CROWD = 128
 #: Centres (some kilobytes each) up to which they are broadcast.
@@ -85,26 +85,32 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, size, digest) for each document, and rows (token, seen) of what is frequent in a batch."""
+    """A row (doc_id, size, digest) for each document, and rows (token, seen) of what is frequent in a run of them."""
+    names = ["is_doc", "doc_id", "size", "digest", "token", "seen"]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            every = np.concatenate([*held, np.empty(0, np.uint64)])
+            held.clear()
+            every.sort()
+            # a token of k occurrences equals the one SHOWN - 1 places on k - SHOWN + 1 times
+            again = every[SHOWN - 1 :][every[SHOWN - 1 :] == every[: len(every) - SHOWN + 1]] if len(every) >= SHOWN else every[:0]
+            token, seen = np.unique(again, return_counts=True)
+            none = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(token), pa.bool_()), *none, pa.array(_signed(token)), pa.array(seen.astype(np.int64) + SHOWN - 1)], names=names)
+
         for batch in stream:
             sets = [tokens(x, n) for x in utf8_views(batch.column("text"))]
-            token, seen = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            shown = seen >= SHOWN
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            k, t = len(sets), int(shown.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array([True] * k, pa.bool_()), pa.array([False] * t, pa.bool_())]),
-                    pa.concat_arrays([batch.column("doc_id").cast(pa.int64()), pa.nulls(t, pa.int64())]),
-                    pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.nulls(t, pa.int64())]),
-                    pa.concat_arrays([pa.array(digest, pa.binary()), pa.nulls(t, pa.binary())]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(_signed(token[shown]))]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(seen[shown].astype(np.int64))]),
-                ],
-                names=["is_doc", "doc_id", "size", "digest", "token", "seen"],
-            )
+            k = len(sets)
+            columns = [pa.array([True] * k, pa.bool_()), batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            held += sets
+            if sum(map(len, held)) > RUN:
+                yield told()
+        yield told()
 
     return map_arrow(docs.select("doc_id", "text"), batches, "is_doc boolean, doc_id bigint, size bigint, digest binary, token bigint, seen bigint")
 
@@ -127,17 +133,21 @@ def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for batch in stream:
-            rows = [(d, tokens(x, n)) for d, x in zip(batch.column("doc_id").to_pylist(), utf8_views(batch.column("text")), strict=True)]
-            rows = [(d, s) for d, s in rows if d is not None and len(s)]
-            cut = [[by_order(s, o, known, times)[: prefix_size(len(s), p, q)] for _, s in rows] for o in range(3)]
-            short = [[(x >> U(32)).astype(np.uint32).view(np.int32) for x in cut[o]] for o in (1, 2)]
+            ids, digests, sizes, cut = [], [], [], ([], [], [])
+            for doc, view in zip(batch.column("doc_id").to_pylist(), utf8_views(batch.column("text")), strict=True):
+                found = tokens(view, n)
+                if doc is None or not len(found):
+                    continue
+                ids.append(doc)
+                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                sizes.append(len(found))
+                for order in range(3):
+                    first = by_order(found, order, known, times)[: prefix_size(len(found), p, q)]
+                    cut[order].append((first >> U(32)).astype(np.uint32).view(np.int32) if order else _signed(first))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([d for d, _ in rows], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, s in rows], pa.binary()),
-                    pa.array([len(s) for _, s in rows], pa.int64()), _lists([_signed(x) for x in cut[0]], pa.int64()), _lists(short[0], pa.int32()), _lists(short[1], pa.int32()),
-                ],
+                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(cut[0], pa.int64()), _lists(cut[1], pa.int32()), _lists(cut[2], pa.int32())],
                 names=["doc_id", "digest", "size", "first", "second", "third"],
-            )
+            )
 
     return map_arrow(docs.select("doc_id", "text"), batches, "doc_id bigint, digest binary, size bigint, first array<bigint>, second array<int>, third array<int>")
 
@@ -151,7 +161,7 @@ def classes(prefixed: DataFrame) -> DataFrame:
 def postings(named: DataFrame, often: np.ndarray, count: np.ndarray) -> DataFrame:
     """(token, cid, size, pos, crowd): prefix tokens of two classes or more, with the number of classes.
 
-    Tokens known to be frequent are counted by partial sums and joined back; the others, of which no batch had
+    Tokens known to be frequent are counted by partial sums and joined back; the others, of which no run had
     more than a few, are counted in a window."""
     spark = named.sparkSession
     every = named.select("cid", "size", F.posexplode("first").alias("pos", "token"))

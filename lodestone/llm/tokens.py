@@ -34,7 +34,7 @@ SPLITS = {
 #: What stands between pieces in one call, and what a piece must not hold to be in one.
 SEPARATORS = {"byte": ("\n", "\n"), "word": (" ~ ", "~")}
 #: Pieces in a generation of a worker's memory, of which it has two, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 

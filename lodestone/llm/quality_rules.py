@@ -1,6 +1,6 @@
 """Quality rules with thresholds taken from mergeable quantile sketches per language and source.
 
-1. A pass over the whole texts yields counts per document.
+1. A pass over the whole texts yields counts per document, a written table of numbers.
 2. Every rate is put into a histogram sketch: bins of integer values whose width doubles with their magnitude
    (HIGH_BITS leading bits kept, so a quantile is off by less than 1 / 2**(HIGH_BITS - 1) of its value). Two
    sketches merge by adding counts, so the partial sums before the shuffle are the sketches of the tasks, a
@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8_views
+from .common import map_arrow, utf8_views, written
 from .textkernel import SPACE, ngrams, spans, word_hashes
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 MIN_DOCS = 100
+#: Groups (some 200 bytes each) up to which their fences are broadcast; beyond it, the join is a shuffled one, alone on
+#: its exchanges, which adaptive execution splits at a hot source.
+FENCES = 50_000
 HIGH_BITS = 6
 #: Interquartile ranges beyond the quartile at which a rate is out of the ordinary for its group.
 REACH = 3
@@ -161,6 +164,9 @@ def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
     g = group.alias("g").join(lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left").crossJoin(F.broadcast(whole))  # whole has one row
     enough = lambda c: F.col(c)["docs"] >= MIN_DOCS
     chosen = g.select(F.col("g.lang").alias("_lang"), F.col("g.source").alias("_source"), F.when(enough("f"), F.col("f")).when(enough("f1"), F.col("f1")).otherwise(F.col("f2")).alias("f"))
+    chosen = written(chosen, "fences")
+    if chosen.count() <= FENCES:
+        chosen = F.broadcast(chosen)
     joined = rated.join(chosen, rated["lang"].eqNullSafe(chosen["_lang"]) & rated["source"].eqNullSafe(chosen["_source"]), "left")
     within = ~F.col("base_failed")
     for k, (_, _, down) in RATES.items():
@@ -172,5 +178,5 @@ def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, COUNTS, base_failed, rates, kept), one row for each row of docs (doc_id, text, lang, source)."""
-    rated = with_rates(text_counts(docs))
+    rated = with_rates(written(text_counts(docs), "counts"))
     return judge(rated, fences(merged(sketches(rated))))

@@ -1,13 +1,14 @@
 """WARC archives with revisit resolution by payload digest.
 
 Digests are headers: (page_id, url, bytes, digest) of every page, without its payload. They are grouped by digest,
-minima first within the tasks, so a payload that a third of all pages share costs one row a task; the page of the
+minima first within the tasks, so a payload that a third of all pages share costs one row a task (the join back can
+be split at it); the page of the
 least page_id is the response, others of at least MIN_BYTES revisit it. The resolution is joined back to the pages
 by page_id, and each task writes its records into archives of its own with fresh headers: WARC/1.1, one gzip
 member a record, files of about FILE_BYTES. A manifest lists the files of the attempts that counted.
 
-Reading goes through the files of the manifest, a member at a time. A revisit record has no payload; its digest and
-size are in its headers, and its response is found again by a join of the headers read.
+Reading goes through the files of the manifest, a member at a time. A revisit record has no payload; its digest is in
+its headers and its size in the HTTP headers it keeps, and its response is found again by a join.
 
 Defined results: null html is an empty payload; null url has no target header and reads as null; pages with equal
 page_id are pages of their own, and the one that is read first in the order of their urls is not told apart: both
@@ -21,18 +22,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, utf8_views, written
+from .common import by_ids, fresh_path, map_arrow, utf8_views, written
 from .files import open_read, open_write
 
 MIN_BYTES = 100
 FILE_BYTES = 64 << 20
 LEVEL = 1
+#: Repeated payloads (a digest of 64 characters each) up to which their digests are broadcast.
+DIGESTS = 200_000
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,19 +56,27 @@ def headers(pages: DataFrame) -> DataFrame:
 def resolve(heads: DataFrame) -> DataFrame:
     """(page_id, refers_to): the revisits alone, by the least page_id of each digest."""
     large = heads.filter(F.col("payload_bytes") >= MIN_BYTES)
-    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("payload_digest", "refers_to")
-    return large.join(first, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select(F.col("payload_digest").alias("id"), "refers_to"), "responses")
+    return by_ids(large, "payload_digest", first, "inner", DIGESTS).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+
+
+def record_id(page_id: int | None) -> str:
+    """Follows from the page, so that a revisit can name its response and a repeated task writes the same."""
+    return f"<{(uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')).urn}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record with fresh headers; a revisit's block is empty."""
-    block = b"" if refers_to is not None else payload
+    """One record with fresh headers: an HTTP response with its payload, or, for a revisit, without it."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if refers_to is not None else http + payload
+    broken = url is not None and ("\r" in url or "\n" in url)
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{uuid.uuid4().urn}>"), ("WARC-Date", date),
-        *([] if url is None else [("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c in "\r\n%" else c for c in url))]),
-        ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Bytes", str(len(payload))), ("X-Page-Id", "" if page_id is None else str(page_id)),
-        *([] if refers_to is None else [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(refers_to))]),
-        ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(block))),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date),
+        *([] if url is None else [("WARC-Target-URI", url)] if not broken else [("WARC-Target-URI", quote(url)), ("X-Quoted-URI", "yes")]),
+        ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", "" if page_id is None else str(page_id)),
+        *([] if refers_to is None else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]),
+        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     head = "".join([f"{VERSION}\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode()
     return b"".join([head, block, b"\r\n\r\n"])
@@ -79,7 +91,7 @@ def write(pages: DataFrame) -> DataFrame:
     """Writes the archives; the manifest (path, records), a written table."""
     folder = fresh_path(pages.sparkSession, "warc")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = written(resolve(headers(pages)), "revisits")
+    revisits = written(resolve(written(headers(pages), "headers")), "revisits")
     joined = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").join(revisits, "page_id", "left")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +150,6 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return named, rest[:size]
 
 
-def _url(text: str | None) -> str | None:
-    if text is None:
-        return None
-    for code, char in (("%0D", "\r"), ("%0A", "\n"), ("%25", "%")):
-        text = text.replace(code, char)
-    return text
-
-
 def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, [payload]) of every record in the files.
 
@@ -153,12 +157,13 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     def row(raw: bytes) -> tuple:
         named, block = parse(raw)
-        digest, size = named["WARC-Payload-Digest"].removeprefix("sha256:"), int(named["X-Payload-Bytes"])
-        if named["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest(), len(block)) != (digest, size):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest, size = named["WARC-Payload-Digest"].removeprefix("sha256:"), int(http.rpartition(b" ")[2])
+        if named["WARC-Type"] == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
             raise ValueError(f"payload of page {named['X-Page-Id']} doesn't match its headers")
         target = named.get("X-Refers-To-Page-Id")
-        page = named["X-Page-Id"]
-        return int(page) if page else None, _url(named.get("WARC-Target-URI")), size, digest, named["WARC-Type"], None if target is None else int(target), block if with_payload else None
+        page, url = named["X-Page-Id"], named.get("WARC-Target-URI")
+        return int(page) if page else None, unquote(url) if "X-Quoted-URI" in named else url, size, digest, named["WARC-Type"], None if target is None else int(target), payload if with_payload else None
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.binary()] if with_payload else [])]
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]

@@ -96,7 +96,7 @@ def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict, mined_rule), a row for each row of pages (key, url)."""
-    from .common import written
+    from .common import by_ids, written
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     split = pages.select(key, host.alias("host"), path.alias("path")).withColumn("r", fitting(F.col("host"), F.col("path"), rules))
@@ -108,8 +108,8 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     else:
         # equal token sets are matched once, however many pages have them
         baskets = told.filter("r is null").select("tokens").distinct().withColumn("basket", F.concat_ws(" ", "tokens"))
-        found = match(baskets, mined, "basket")
-        judged = told.withColumn("basket", F.concat_ws(" ", "tokens")).join(found, "basket", "left")
+        found = written(match(baskets, mined, "basket").withColumnRenamed("basket", "id"), "matched")
+        judged = by_ids(told.withColumn("basket", F.concat_ws(" ", "tokens")), "basket", found, "left", BROADCAST_ROWS)
     verdict = F.coalesce(F.col("r.verdict"), F.col("mined"), F.lit(ALLOW))
     shown = F.when(F.col("r").isNull(), F.col("mined_rule"))
     return judged.select(key, "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), shown.alias("mined_rule"))

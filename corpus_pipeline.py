@@ -16,6 +16,8 @@ from lodestone.llm.common import by_ids, discard, table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: words a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (80, 100)
+#: Pieces of text that a tokenizing worker remembers: few, as the stages before have used the executors' memory.
+REMEMBERED = 200_000
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     from lodestone.llm.packing import pack
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, written
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 CAPACITY = 2048
 
@@ -98,14 +98,14 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, split: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, split: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids binary], part, part_rank)"""
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([end_id], "<u4").tobytes()
     fields = ["piece", "start", "length", "ids_crc32", "part", "part_rank"]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ranks = encoder(tokenizer, split).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, ranks = encoder(tokenizer, split, remembered).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in stream:
             rows, of, ids = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -161,7 +161,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_arrow(ranked, batches, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, tokenizer: str, split: str = "byte", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, split: str = "byte", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids], sequence_id, offset), a row a piece."""
-    placed = place(written(pieces(docs, tokenizer, split, end_id, capacity, with_ids), "pieces"), capacity)
+    placed = place(written(pieces(docs, tokenizer, split, end_id, capacity, with_ids, remembered), "pieces"), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "sequence_id", "offset")

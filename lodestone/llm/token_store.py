@@ -2,13 +2,14 @@
 
 A shard holds the ids of consecutive documents, in segments of SEGMENT tokens, each with a matrix of its own (one
 that fits a core's cache is built and read nearly twice as fast). A segment's alphabet is what occurs in it,
-renumbered densely; plane l holds bit l (from the top) of every symbol, after a stable partition by all bits above: zeros first. Rank counts
-are kept for every BLOCK bits, so access, counting of an id in a range, and finding its j-th occurrence take one
-rank or select a plane of a segment without decoding the rest.
+renumbered densely; plane l holds bit l (from the top) of every symbol, after a stable partition by all bits above,
+zeros first. Rank counts are kept for every BLOCK bits, so access, counting of an id in a range, and finding its
+j-th occurrence take one rank or select a plane of a segment without decoding the rest.
 
 File: MAGIC, the length of a JSON header as 8 bytes, the header, then the sections it lists, each compressed by
-Zstandard: ``docs`` (int64 document ids, null as given by ``nulls``), ``ends`` (int64 token counts up to and with each document), and for each segment
-``symbols`` (uint32 ids of its alphabet) and ``plane0`` .. (packed bits). Rank counts are rebuilt while a plane is loaded.
+Zstandard: ``docs`` (int64 document ids, null as given by ``nulls``), ``ends`` (int64 token counts up to and with
+each document), and for each segment ``symbols`` (uint32 ids of its alphabet) and its planes (packed bits). Rank
+counts are rebuilt when a plane is first asked for one.
 
 Documents are range-partitioned and sorted by doc_id; a task writes its shards of about SHARD_TOKENS tokens under
 names of their own attempt, and a manifest table lists the files of the attempts that counted, so that lost
@@ -24,6 +25,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +45,18 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class Plane:
-    """A bit vector with rank and select."""
+    """A bit vector with rank and select; the counts for them are made when first asked for."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.n, self.packed = n, packed
-        padded = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-        padded[: len(packed)] = packed
+    def __init__(self, packed: np.ndarray, n: int, ones: int):
+        self.n, self.packed, self.ones, self.zeros = n, packed, ones, n - ones
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """Ones before each block."""
+        padded = np.zeros(-(-len(self.packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+        padded[: len(self.packed)] = self.packed
         per_block = _ONES[padded].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-        self.before = np.concatenate([[0], np.cumsum(per_block)])
-        self.ones = int(self.before[-1])
-        self.zeros = n - self.ones
+        return np.concatenate([[0], np.cumsum(per_block)])
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3] >> (7 - (i & 7))) & 1
@@ -95,9 +99,13 @@ class WaveletMatrix:
         dense[symbols] = np.arange(len(symbols))
         now, width, planes = dense[ids], cls.width(len(symbols)), []
         for level in range(width):
-            ones = (now >> kind(width - 1 - level) & kind(1)).astype(bool)
-            planes.append(Plane(np.packbits(ones), len(now)))
-            now = now.take(np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)]))
+            ones = (now & kind(1 << (width - 1 - level))) != 0
+            up, down = np.flatnonzero(ones), np.flatnonzero(~ones)
+            planes.append(Plane(np.packbits(ones), len(now), len(up)))
+            parted = np.empty_like(now)
+            now.take(down, out=parted[: len(down)], mode="clip")  # clip: without a buffer for out
+            now.take(up, out=parted[len(down) :], mode="clip")
+            now = parted
         return cls(symbols, planes, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -107,10 +115,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         for level in reversed(range(width)):
             plane = self.planes[level]
-            ones = np.unpackbits(plane.packed, count=self.n).astype(bool)
+            ones = np.unpackbits(plane.packed, count=self.n).view(bool)
             back = np.empty_like(now)
-            now[plane.zeros :] |= kind(1 << (width - 1 - level))
-            back[np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])] = now
+            back[np.flatnonzero(~ones)] = now[: plane.zeros]
+            back[np.flatnonzero(ones)] = now[plane.zeros :] | kind(1 << (width - 1 - level))
             now = back
         return self.symbols[now]
 
@@ -199,7 +207,7 @@ def dump(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
 
     docs = np.array([0 if d is None else d for d in doc_ids], np.int64)
     header = {"nulls": [i for i, d in enumerate(doc_ids) if d is None], "docs": section(docs.tobytes()), "ends": section(ends.astype(np.int64).tobytes())}
-    header["segments"] = [{"tokens": m.n, "symbols": section(m.symbols.tobytes()), "planes": [section(p.packed.tobytes()) for p in m.planes]} for m in Shard.build(ids).segments]
+    header["segments"] = [{"tokens": m.n, "symbols": section(m.symbols.tobytes()), "planes": [[p.ones, *section(p.packed.tobytes())] for p in m.planes]} for m in Shard.build(ids).segments]
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *packed])
 
@@ -226,7 +234,7 @@ def load(raw: bytes) -> tuple[list[int | None], np.ndarray, Shard]:
     ends, segments = np.frombuffer(section(header["ends"]), np.int64), []
     for s in header["segments"]:
         symbols = np.frombuffer(section(s["symbols"]), np.uint32)
-        segments.append(WaveletMatrix(symbols, [Plane(np.frombuffer(section(p), np.uint8), s["tokens"]) for p in s["planes"]], s["tokens"]))
+        segments.append(WaveletMatrix(symbols, [Plane(np.frombuffer(section(p[1:]), np.uint8), s["tokens"], p[0]) for p in s["planes"]], s["tokens"]))
     return docs, ends, Shard(segments)
 
 

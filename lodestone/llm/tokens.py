@@ -33,16 +33,18 @@ SPLITS = {
 }
 #: What stands between pieces in one call, and what a piece must not hold to be in one.
 SEPARATORS = {"byte": ("\n", "\n"), "word": (" ~ ", "~")}
-#: Pieces in a generation of a worker's memory, of which it has two, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 400_000, 48
+#: Pieces (some 200 bytes each) in a generation of a worker's memory, of which it has two, unless a caller with less
+#: memory to spare asks for fewer; and the longest piece that is remembered.
+REMEMBERED, LONGEST = 800_000, 48
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str, split: str):
+    def __init__(self, path: str, split: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = SPLITS[split]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -77,23 +79,26 @@ class Encoder:
             return self._library([text])[0]
         pieces, known, older = self.pattern.findall(text), self.known, self.older
         got = list(map(known.get, pieces))
-        if None in got:
-            absent = {p for p, ids in zip(pieces, got, strict=True) if ids is None}
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        if missing:
+            absent = {pieces[i] for i in missing}
             known.update((p, older[p]) for p in absent if p in older)
             new = [p for p in absent if p not in older]
             if new:
                 known.update(self._pieces(new))
-            got = [known[p] if ids is None else ids for p, ids in zip(pieces, got, strict=True)]
+            for i in missing:
+                got[i] = known[pieces[i]]
             for piece in new:
                 if len(piece) > LONGEST:
                     del known[piece]
-            if len(known) > REMEMBERED:
+            if len(known) > self.remembered:
                 self.known, self.older = {}, known
         return b"".join(got)
 
 
-def encoder(path: str, split: str) -> Encoder:
+def encoder(path: str, split: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each worker process."""
-    if (path, split) not in _encoders:
-        _encoders[path, split] = Encoder(path, split)
-    return _encoders[path, split]
+    found = _encoders.get((path, split)) or Encoder(path, split)
+    found.remembered = remembered
+    _encoders[path, split] = found
+    return found

@@ -116,11 +116,8 @@ def test_encoder_equals_the_library(spark, kind):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
-def test_encoder_forgets_and_stays_right(monkeypatch):
-    from lodestone.llm import tokens
-
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
-    encoder, whole = Encoder(FILES["byte"], "byte"), Tokenizer.from_file(FILES["byte"])
+def test_encoder_forgets_and_stays_right():
+    encoder, whole = Encoder(FILES["byte"], "byte", remembered=3), Tokenizer.from_file(FILES["byte"])
     for i in range(50):
         text = f"some words {i} and others {i % 7} again"
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -1,7 +1,8 @@
 """Main text of HTML pages by structure and nearest-URL page differencing.
 
 1. A page is cut into lines, one a block. Elements that are no article text by their meaning (navigation, forms,
-   scripts, ..; also by class, id or role) give none. If the page marks up its article, lines elsewhere give none
+   scripts, ..; also by class, id or role) give none; a form or a class or id doesn't switch off an element that
+   holds the page's article, main or h1. If the page marks up its article, lines elsewhere give none
    either, and the article's own lines are protected: a sentence that two articles share is still text.
 2. Pages are ordered by (host, path, page_id), and each is paired with the one before it on its host, or with the
    one after it if it is the first: its nearest URL. Ordering is a range-partitioned sort of line hashes, without
@@ -45,13 +46,20 @@ BLOCKS = set(
 SPACES = {"br", "td", "th", "img", "input", "wbr"}
 CLOSES_P = BLOCKS - {"button", "caption", "legend", "li", "option", "summary", "tbody", "tfoot", "thead", "tr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-DROPPED = set("aside button canvas datalist dialog footer form head iframe menu nav noscript object script search select style svg template textarea title".split())
+DROPPED = set("aside button canvas datalist dialog footer head iframe menu nav noscript object script search select style svg template textarea title".split())
 NOISE = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments respond reply replies disqus share sharing social related recommended "
     "newsletter subscribe subscription signup login search form pagination pager widget toolbar skip".split()
 )
 TALK = {"comment", "comments", "respond", "reply", "replies", "disqus"}
+#: Kinds of elements. Wrappers give no text unless they hold the page's article, main or h1: LOOSE are forms and those
+#: with a word of NOISE somewhere in a name (has-sidebar), NAMED those called by it (sidebar), OTHER those that usually
+#: hold articles of their own.
+KEPT, LOOSE, NAMED, OTHER, HIDDEN = range(5)
+MARKS = {"article", "main", "h1"}
+OTHERS = TALK | {"related", "recommended"}
+STATES = {"has", "no", "with", "without"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
@@ -63,36 +71,53 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _is_noise(name: str, raw: str) -> bool:
+def _part(name: str, raw: str) -> int:
+    """What an element's attributes make of it: KEPT, a wrapper (LOOSE, NAMED, OTHER) or HIDDEN."""
     found = _attributes(raw)
     if not found:
-        return False
+        return KEPT
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        return HIDDEN
     if name in ("html", "body", "main"):
-        return False
-    if name == "article":
-        return bool(words & TALK)
-    return bool(words & NOISE) or found.get("role", "").lower() in ROLES
+        return KEPT
+    role, kind = found.get("role", "").lower(), KEPT
+    if name != "article" and role in ROLES:
+        if role != "form":
+            return HIDDEN
+        kind = LOOSE
+    noise = TALK if name == "article" else NOISE
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not noise.isdisjoint(words):
+            states = words[0] in STATES
+            kind = max(kind, LOOSE if states else OTHER if not OTHERS.isdisjoint(words) else NAMED if words[0] in noise else LOOSE)
+    return kind
+
+
+def _lifted(wrappers: list[tuple[int, set[str]]], bare: set[str]) -> set[int]:
+    """Wrappers that hold the page's own text. bare: which of MARKS stand in no wrapper."""
+    loose = {i for i, (kind, marks) in enumerate(wrappers) if kind == LOOSE and (marks & {"article", "main"} or marks - bare)}
+    return loose | {i for i, (kind, marks) in enumerate(wrappers) if kind == NAMED and marks - bare}
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
     """(text, protected) of each block, in page order."""
-    every: list[tuple[str, bool, bool]] = []  # text, in an article, in main
-    piece: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether they stand outside the text
+    every: list[tuple[list[tuple[str, tuple[int, ...]]], bool, bool]] = []  # pieces with their wrappers, in an article, in main
+    piece: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether they stand outside the text; whether they are wrappers
+    wrappers: list[tuple[int, set[str]]] = []  # kind, and which of MARKS it holds
+    within: tuple[int, ...] = ()  # open wrappers
+    marked: list[tuple[str, tuple[int, ...]]] = []
     outside = articles = mains = headers = headings = 0
 
     def flush() -> None:
-        text = " ".join("".join(piece).split())
-        piece.clear()
-        if text:
-            every.append((text, articles > 0, mains > 0))
+        if piece:
+            every.append((piece.copy(), articles > 0, mains > 0))
+            piece.clear()
 
     def say(raw: str) -> None:
         if raw and not outside and not (headers and not headings):
-            piece.append(entities.unescape(raw) if "&" in raw else raw)
+            piece.append((entities.unescape(raw) if "&" in raw else raw, within))
 
     def count(name: str, by: int) -> None:
         nonlocal articles, mains, headers, headings
@@ -102,9 +127,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
         headings += by * (name in HEADINGS)
 
     def pop() -> None:
-        nonlocal outside
-        name, off = stack.pop()
+        nonlocal outside, within
+        name, off, wraps = stack.pop()
         outside -= off
+        within = within[:-1] if wraps else within
         count(name, -1)
 
     at, until = 0, len(page)
@@ -123,7 +149,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         elif name in SPACES:
             say(" ")
         if tag[1]:
-            if any(open_name == name for open_name, _ in stack):
+            if any(x[0] == name for x in stack):
                 while True:
                     done = stack[-1][0] == name
                     pop()
@@ -136,7 +162,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         if name in VOID or tag[3].endswith("/"):
             continue
-        if name in CLOSES_P and any(open_name == "p" for open_name, _ in stack):
+        if name in CLOSES_P and any(x[0] == "p" for x in stack):
             while stack[-1][0] in {"p", "a", "b", "i", "em", "strong", "span", "u", "small", "font", "code", "sub", "sup", "mark", "q", "cite"}:
                 done = stack[-1][0] == "p"
                 pop()
@@ -144,15 +170,40 @@ def lines(page: str) -> list[tuple[str, bool]]:
                     break
         if name == "li" and stack and stack[-1][0] == "li":
             pop()
-        off = name in DROPPED or _is_noise(name, tag[3]) or (name == "header" and not articles)
-        stack.append((name, off))
+        kind = _part(name, tag[3])
+        if name == "form" and kind == KEPT:
+            kind = LOOSE
+        off = name in DROPPED or kind == HIDDEN or (name == "header" and not articles)
+        wraps = kind in (LOOSE, NAMED, OTHER) and not off and not outside
+        stack.append((name, off, wraps))
         outside += off
+        if wraps:
+            within += (len(wrappers),)
+            wrappers.append((kind, set()))
+        if name in MARKS and not outside:
+            marked.append((name, within))
+            for i in within:
+                wrappers[i][1].add(name)
         count(name, 1)
     flush()
-    for marked in (1, 2):
-        if any(x[marked] for x in every):
-            return [(x[0], True) for x in every if x[marked]]
-    return [(x[0], False) for x in every]
+
+    def left(lifted: set[int]) -> list[tuple[str, bool, bool]]:
+        found = ((" ".join("".join(t for t, around in pieces if lifted.issuperset(around)).split()), a, m) for pieces, a, m in every)
+        return [x for x in found if x[0]]
+
+    lifted = _lifted(wrappers, {name for name, around in marked if not around})
+    kept = left(lifted)
+    if not kept and marked:  # nothing else is on the page
+        lifted = {i for i, (_, marks) in enumerate(wrappers) if marks}
+        kept = left(lifted)
+    # An article that only stands in wrappers with names of other parts adds to the rest and doesn't replace it.
+    sure = any(name == "article" and all(i in lifted and wrappers[i][0] == LOOSE for i in around) for name, around in marked)
+    in_main = any(m for _, _, m in kept)
+    if sure and any(a for _, a, _ in kept):
+        return [(t, True) for t, a, _ in kept if a]
+    if in_main:
+        return [(t, True) for t, a, m in kept if a or m]
+    return [(t, a) for t, a, _ in kept]
 
 
 def _hash(text: str) -> int:

@@ -100,3 +100,23 @@ def test_odd_rows(spark):
     got = html_extract.extract(frame)
     assert got.count() == 6 and {r["text"] for r in got.filter("html IS NULL" if "html" in got.columns else "n_chars = 0").collect()} == {""}
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<div class='content has-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<form id='aspnetForm'><nav>n</nav><article><p>a</p></article></form>", "a"),
+        ("<div class='no-sidebar'><main><p>a</p></main></div>", "a"),
+        ("<body><div class='page-with-banner'><h1>T</h1><p>a</p><div class='banner'>b</div></div></body>", "T\n\na"),
+        ("<div class='social-science'><article><h1>T</h1><p>a</p></article></div>", "T\n\na"),
+        ("<main><div id='search-result'><article><p>a</p></article></div></main>", "a"),
+        ("<article class='post no-comments'><p>a</p></article>", "a"),
+        ("<article><p>a</p><form><p>mail</p></form></article><form><h1>Log in</h1></form>", "a"),
+        ("<article><p>a</p></article><div class='sidebar'><article>teaser</article></div><div class='related'><article>other</article></div>", "a"),
+        ("<main><h1>T</h1><p>a</p><div class='related'><article>other</article></div></main>", "T\n\na"),
+        ("<div style='display:none'><article>x</article></div><aside><article>y</article></aside><p>a</p>", "a"),
+    ],
+)
+def test_wrappers_keep_the_article(page, expected):
+    assert text(page) == expected

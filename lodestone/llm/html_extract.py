@@ -3,7 +3,8 @@
 1. A page is cut into lines, one a block. Elements that are no article text by their meaning (navigation, forms,
    scripts, ..; also by class, id or role) give none; a form or a class or id doesn't switch off an element that
    holds the page's article, main or h1. If the page marks up its article, lines elsewhere give none
-   either, and the article's own lines are protected: a sentence that two articles share is still text.
+   either. Paragraphs, headings, lists and tables of an <article>, and what stands in it directly, are protected: a
+   sentence that two articles share is still text. Other lines of an article and all of <main> are not.
 2. Pages are ordered by (host, path, page_id), and each is paired with the one before it on its host, or with the
    one after it if it is the first: its nearest URL. Ordering is a range-partitioned sort of line hashes, without
    texts; only the first and last row of each part are exchanged between parts, so a host of any size is many
@@ -45,6 +46,8 @@ BLOCKS = set(
 )
 SPACES = {"br", "td", "th", "img", "input", "wbr"}
 CLOSES_P = BLOCKS - {"button", "caption", "legend", "li", "option", "summary", "tbody", "tfoot", "thead", "tr"}
+#: Elements whose text in an article is the article's own.
+TEXT = set("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 DROPPED = set("aside button canvas datalist dialog footer head iframe menu nav noscript object script search select style svg template textarea title".split())
 NOISE = set(
@@ -102,7 +105,7 @@ def _lifted(wrappers: list[tuple[int, set[str]]], bare: set[str]) -> set[int]:
 
 def lines(page: str) -> list[tuple[str, bool]]:
     """(text, protected) of each block, in page order."""
-    every: list[tuple[list[tuple[str, tuple[int, ...]]], bool, bool]] = []  # pieces with their wrappers, in an article, in main
+    every: list[tuple[list[tuple[str, tuple[int, ...]]], bool, bool, bool]] = []  # pieces with their wrappers, in an article, in main, known text of an article
     piece: list[tuple[str, tuple[int, ...]]] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements; whether they stand outside the text; whether they are wrappers
     wrappers: list[tuple[int, set[str]]] = []  # kind, and which of MARKS it holds
@@ -112,9 +115,20 @@ def lines(page: str) -> list[tuple[str, bool]]:
 
     def flush() -> None:
         if piece:
-            every.append((piece.copy(), articles > 0, mains > 0))
+            every.append((piece.copy(), articles > 0, mains > 0, articles > 0 and told()))
             piece.clear()
 
+    def told() -> bool:
+        """Whether the open elements, up to their article, say that this is text: a paragraph, or nothing but sections."""
+        bare = True
+        for name, _, _ in reversed(stack):
+            if name in TEXT:
+                return True
+            if name == "article":
+                return bare
+            bare = bare and (name == "section" or name not in BLOCKS)
+        return False
+
     def say(raw: str) -> None:
         if raw and not outside and not (headers and not headings):
             piece.append((entities.unescape(raw) if "&" in raw else raw, within))
@@ -187,8 +201,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
         count(name, 1)
     flush()
 
-    def left(lifted: set[int]) -> list[tuple[str, bool, bool]]:
-        found = ((" ".join("".join(t for t, around in pieces if lifted.issuperset(around)).split()), a, m) for pieces, a, m in every)
+    def left(lifted: set[int]) -> list[tuple[str, bool, bool, bool]]:
+        found = ((" ".join("".join(t for t, around in pieces if lifted.issuperset(around)).split()), *where) for pieces, *where in every)
         return [x for x in found if x[0]]
 
     lifted = _lifted(wrappers, {name for name, around in marked if not around})
@@ -198,12 +212,11 @@ def lines(page: str) -> list[tuple[str, bool]]:
         kept = left(lifted)
     # An article that only stands in wrappers with names of other parts adds to the rest and doesn't replace it.
     sure = any(name == "article" and all(i in lifted and wrappers[i][0] == LOOSE for i in around) for name, around in marked)
-    in_main = any(m for _, _, m in kept)
-    if sure and any(a for _, a, _ in kept):
-        return [(t, True) for t, a, _ in kept if a]
-    if in_main:
-        return [(t, True) for t, a, m in kept if a or m]
-    return [(t, a) for t, a, _ in kept]
+    if sure and any(x[1] for x in kept):
+        kept = [x for x in kept if x[1]]
+    elif any(x[2] for x in kept):
+        kept = [x for x in kept if x[1] or x[2]]
+    return [(x[0], x[3]) for x in kept]
 
 
 def _hash(text: str) -> int:

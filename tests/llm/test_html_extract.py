@@ -120,3 +120,12 @@ def test_odd_rows(spark):
 )
 def test_wrappers_keep_the_article(page, expected):
     assert text(page) == expected
+
+
+def test_marked_pages_are_differenced(spark):
+    """Site lines in <main> and in blocks of an article that aren't its text go; paragraphs and headings of articles stay."""
+    block = "<div class='xyz'>Follow our channel.</div>"
+    main = [(i, f"http://m.org/{i}", f"<main><div><p>Best site of all.</p></div><p>Own {i}</p><p>More {i}</p></main>") for i in range(3)]
+    article = [(10 + i, f"http://a.org/{i}", f"<main><article><h1>T</h1>{block}<div><p>Both say so.</p></div><ul><li>salt</li></ul><p>Only {i}</p><p>More {i}</p>Bare</article></main>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(main + article, PAGES)).collect()}
+    assert got == {i: f"Own {i}\n\nMore {i}" for i in range(3)} | {10 + i: f"T\n\nBoth say so.\n\nsalt\n\nOnly {i}\n\nMore {i}\n\nBare" for i in range(3)}

@@ -4,15 +4,15 @@ Digests are headers: (page_id, url, bytes, digest) of every page, without its pa
 minima first within the tasks, so a payload that a third of all pages share costs one row a task (the join back can
 be split at it); the page of the
 least page_id is the response, others of at least MIN_BYTES revisit it. The resolution is joined back to the pages
-by page_id, and each task writes its records into archives of its own with fresh headers: WARC/1.1, one gzip
+by page_id and digest, and each task writes its records into archives of its own with fresh headers: WARC/1.1, one gzip
 member a record, files of about FILE_BYTES. A manifest lists the files of the attempts that counted.
 
 Reading goes through the files of the manifest, a member at a time. A revisit record has no payload; its digest is in
 its headers and its size in the HTTP headers it keeps, and its response is found again by a join.
 
 Defined results: null html is an empty payload; null url has no target header and reads as null; pages with equal
-page_id are pages of their own, and the one that is read first in the order of their urls is not told apart: both
-get the resolution of the group's least page_id; a null page_id is written as an empty id and never a revisit's
+page_id are pages of their own, each resolved by its own payload, and where both page_id and payload are equal to a
+response's, all are responses; a null page_id is written as an empty id and never a revisit's
 target unless all equal pages lack one; an empty table gives no files; extra columns are never read."""
 
 from __future__ import annotations
@@ -54,16 +54,16 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame) -> DataFrame:
-    """(page_id, refers_to): the revisits alone, by the least page_id of each digest."""
+    """(page_id, payload_digest, refers_to): the revisits alone, by the least page_id of each digest."""
     large = heads.filter(F.col("payload_bytes") >= MIN_BYTES)
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = written(first.select(F.col("payload_digest").alias("id"), "refers_to"), "responses")
-    return by_ids(large, "payload_digest", first, "inner", DIGESTS).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return by_ids(large, "payload_digest", first, "inner", DIGESTS).filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
-def record_id(page_id: int | None) -> str:
-    """Follows from the page, so that a revisit can name its response and a repeated task writes the same."""
-    return f"<{(uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')).urn}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """Follows from the page and its payload, so that a revisit can name its response and a repeated task writes the same."""
+    return f"<{(uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {digest}')).urn}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -72,10 +72,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = http if refers_to is not None else http + payload
     broken = url is not None and ("\r" in url or "\n" in url)
     fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date),
         *([] if url is None else [("WARC-Target-URI", url)] if not broken else [("WARC-Target-URI", quote(url)), ("X-Quoted-URI", "yes")]),
         ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", "" if page_id is None else str(page_id)),
-        *([] if refers_to is None else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]),
+        *([] if refers_to is None else [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     head = "".join([f"{VERSION}\r\n", *(f"{k}: {v}\r\n" for k, v in fields), "\r\n"]).encode()
@@ -92,7 +92,8 @@ def write(pages: DataFrame) -> DataFrame:
     folder = fresh_path(pages.sparkSession, "warc")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisits = written(resolve(written(headers(pages), "headers")), "revisits")
-    joined = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").join(revisits, "page_id", "left")
+    digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
+    joined = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", digest.alias("payload_digest")).join(revisits, ["page_id", "payload_digest"], "left")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
@@ -103,13 +104,13 @@ def write(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64())], names=["path", "records"])
 
         for batch in stream:
-            ids, urls, targets = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to"))
+            ids, urls, sums, targets = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "refers_to"))
             for i, view in enumerate(utf8_views(batch.column("html"))):
                 payload = b"" if view is None else view.tobytes()
                 if out is None:
                     path, size, records = f"{folder}/part-{part:06d}-{serial:06d}-{attempt}.warc.gz", 0, 0
                     out = open_write(path)
-                raw = _member(record(ids[i], urls[i], payload, hashlib.sha256(payload).hexdigest(), targets[i], date))
+                raw = _member(record(ids[i], urls[i], payload, sums[i], targets[i], date))
                 out.write(raw)
                 size, records = size + len(raw), records + 1
                 if size >= FILE_BYTES:
@@ -191,6 +192,7 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def restored(records: DataFrame) -> DataFrame:
     """records read with_payload, (page_id, url, payload): revisits get their response's payload."""
-    responses = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload").alias("original"))
-    revisits = records.filter("record_type = 'revisit'").drop("payload").join(responses, "refers_to").select("page_id", "url", F.col("original").alias("payload"))
+    # rows of equal page_id and payload are all written whole; one of them stands for all
+    responses = records.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload").alias("original"))
+    revisits = records.filter("record_type = 'revisit'").drop("payload").join(responses, ["refers_to", "payload_digest"]).select("page_id", "url", F.col("original").alias("payload"))
     return records.filter("record_type = 'response'").select("page_id", "url", "payload").unionByName(revisits)

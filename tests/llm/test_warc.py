@@ -64,3 +64,14 @@ def test_broken_archives_are_refused():
         list(warc.members(io.BytesIO(raw[:-3])))
     with pytest.raises(ValueError, match="not a record"):
         warc.parse(b"HTTP/1.1\r\n\r\n")
+
+
+def test_pages_of_one_id_are_resolved_by_payload(spark):
+    """A payload of its own is never a revisit because its page_id has another that is; nothing is multiplied."""
+    other, third = BIG + "other", BIG + "third"
+    rows = [(1, "u", BIG), (1, "u2", BIG), (2, "v", BIG), (2, "w", other), (3, "x", third), (4, "y", BIG), (4, "z", third)]
+    records = warc.read(warc.write(spark.createDataFrame(rows, PAGES).repartition(3)), with_payload=True)
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in records.collect())
+    response = lambda i, u: (i, u, "response", None)
+    assert got == [response(1, "u"), response(1, "u2"), (2, "v", "revisit", 1), response(2, "w"), response(3, "x"), (4, "y", "revisit", 1), (4, "z", "revisit", 3)]
+    assert sorted((r["page_id"], r["url"], bytes(r["payload"])) for r in warc.restored(records).collect()) == sorted((i, u, h.encode()) for i, u, h in rows)

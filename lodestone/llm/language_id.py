@@ -9,8 +9,8 @@ ORDER predecessors alone: the trees are compiled into one table (context, byte)
 text's code lengths are sums of looked-up rows.
 
 Training reads the whole texts of a bounded sample of the labelled rows: SAMPLE_DOCS documents a language
-expected, chosen by a hash of doc_id. Counts merge by addition over tasks. The compiled trees keep the
-MAX_CONTEXTS most frequent contexts of each order (a bound of the model, not of the data).
+expected, chosen by a hash of doc_id. Counts merge by addition over tasks. The compiled trees keep every context of
+the sample, so a language with little training text loses none to larger ones.
 
 Defined results: zero bytes count as bytes never seen; null text or text without a letter is `und` with score 0, as is everything if nothing was
 learned; repeated rows get equal results; a tie goes to the first language in string order; empty tables give
@@ -30,7 +30,6 @@ from .common import map_arrow, utf8_views
 
 ORDER = 3
 SAMPLE_DOCS = 1500
-MAX_CONTEXTS = 12_000
 UNDETERMINED = "und"
 #: Bits a byte above which a text reads like none of the learned languages (uniform bytes cost 8 and more).
 FOREIGN_BITS = 6.5
@@ -146,33 +145,25 @@ def compile_model(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Mo
         for j in range(ORDER - depth, ORDER):
             code = code * a + before[j][valid]
         nodes, inverse = np.unique(code, return_inverse=True)
-        weight = np.bincount(inverse, counts[valid], len(nodes))
-        if len(nodes) > MAX_CONTEXTS:
-            kept = np.sort(np.argsort(-weight, kind="stable")[:MAX_CONTEXTS])
-        else:
-            kept = np.arange(len(nodes))
-        place = np.full(len(nodes), -1)
-        place[kept] = np.arange(len(kept))
-        used = place[inverse] >= 0
-        n = np.zeros((len(kept), a, len(languages)))
-        np.add.at(n, (place[inverse][used], symbol[valid][used], which[valid][used]), counts[valid][used])
+        n = np.zeros((len(nodes), a, len(languages)))
+        np.add.at(n, (inverse, symbol[valid], which[valid]), counts[valid])
         total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        parent_rows = np.zeros(len(kept), np.int64)
+        parent_rows = np.zeros(len(nodes), np.int64)
         if depth:
-            parent_rows = tables[-1](nodes[kept] % a ** (depth - 1))
+            parent_rows = tables[-1](nodes % a ** (depth - 1))
         below = cost[parent_rows]
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
             own = np.where(n > 0, -np.log2(n / (total + distinct)), escape + below)
         first = 0 if depth == 0 else len(cost)
         cost = own if depth == 0 else np.concatenate([cost, own])
-        context = _extend(context, a, depth, nodes[kept], first)
-        tables.append(_finder(nodes[kept], first, tables[-1] if tables else None, a, depth))
+        context = _extend(context, a, depth, nodes, first)
+        tables.append(_finder(nodes, first, tables[-1] if tables else None, a, depth))
     return Model(languages, classes, context, cost.reshape(-1, len(languages)).astype(np.float32))
 
 
 def _finder(nodes: np.ndarray, first: int, shorter, a: int, depth: int):
-    """Rows of contexts of this depth by code; that of the longest known suffix where one was pruned."""
+    """Rows of contexts of this depth by code; that of the longest known suffix where one isn't known."""
 
     def rows(code: np.ndarray) -> np.ndarray:
         if not len(nodes):
@@ -198,7 +189,7 @@ def _extend(context: np.ndarray, a: int, depth: int, nodes: np.ndarray, first: i
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred, score (the posterior under equal priors) and bits_per_byte."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     langs = model.languages
 
     def judge(text: np.ndarray | None, m: Model) -> tuple[str, float, float | None]:

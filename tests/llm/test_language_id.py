@@ -90,3 +90,14 @@ def test_labels_are_no_input(spark):
     model = ppm.train(docs)
     swapped = docs.selectExpr("doc_id", "text", "'xx' AS lang", "'s' AS source")
     assert sorted(map(str, ppm.identify(docs, model).collect())) == sorted(map(str, ppm.identify(swapped, model).collect()))
+
+
+def test_rare_languages_keep_their_contexts():
+    """More contexts of a frequent language than 12,000 leave those of a rare one in the model."""
+    rng = np.random.default_rng(0)
+    frequent = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 80_000).tolist())
+    texts = [("a", frequent), ("a", frequent), ("b", "ÄÖÜ ÖÄÜ ßÄÖ")]
+    model = ppm.compile_model(*grams(texts))
+    for text in ("ÄÖÜ ßÄÖ", frequent[100:160]):
+        expected = [code_length([t.encode() for at, t in texts if at == lang], text.encode()) for lang in model.languages]
+        assert model.code_lengths(np.frombuffer(text.encode(), np.uint8)) == pytest.approx(expected, rel=1e-5)

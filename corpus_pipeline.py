@@ -1,8 +1,9 @@
 """A training corpus from documents: quality rules, language, near duplicates, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes each result as
-Parquet in the shared folder and reads it again. All but the last return documents' own columns. Rows without a
-doc_id can't be named in a decision by id, so the stages that decide by id keep them."""
+Parquet in the shared folder and reads it again. All but the last return documents' own columns. Quality and benchmark
+stages judge rows, named by id and text, so null and repeated ids are no exception; of rows equal in id and text, the
+duplicate stage keeps one. Near duplicates go by id alone: there, a row without a doc_id stays."""
 
 from __future__ import annotations
 
@@ -20,6 +21,34 @@ SHINGLE, SIMILAR = 5, (80, 100)
 REMEMBERED = 200_000
 
 
+#: Row keys (some 100 bytes each in Spark's table) up to which a set of them is broadcast.
+BROADCAST_KEYS = 200_000
+
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs plus row_key: equal for rows of equal doc_id and columns (by 128 bits of hash)."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    hashes = [F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)]
+    return docs.select(*COLUMNS, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *hashes).alias("row_key"))
+
+
+def _without_rows(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """keyed without the rejected row_keys."""
+    keys = written(rejected.select(F.col("row_key").alias("id")).distinct(), "rejected")
+    return by_ids(keyed, "row_key", keys, "left_anti", BROADCAST_KEYS).select(*COLUMNS)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with one row of those equal in doc_id and text."""
+    keyed = _keyed(docs, "text")
+    repeated = written(keyed.groupBy(F.col("row_key").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated")
+    if not repeated.count():
+        return docs.select(*COLUMNS)
+    rest = by_ids(keyed, "row_key", repeated, "left_anti", BROADCAST_KEYS).select(*COLUMNS)
+    held = by_ids(keyed, "row_key", repeated, "left_semi", BROADCAST_KEYS).groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return rest.unionByName(held.select("r.*"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rejected ids."""
     ids = written(rejected.select(F.col("doc_id").alias("id")).filter("id IS NOT NULL").distinct(), "rejected")
@@ -30,7 +59,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the base rules or their group's fences reject go."""
     from lodestone.llm.quality_rules import quality_rules
 
-    return _without(docs, quality_rules(docs).filter("NOT kept"))
+    keyed = _keyed(docs, "text", "lang", "source")
+    return _without_rows(keyed, quality_rules(keyed, ("row_key", "lang", "source")).filter("NOT kept"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +76,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least doc_id stays."""
+    """Of documents that links connect, the one with the least doc_id stays, and one row of those equal in id and text."""
     from lodestone.llm.ngram_join import jaccard_components
 
+    docs = _without_repeats(docs)
     found = jaccard_components(docs, SHINGLE, *SIMILAR)
     return _without(docs, found.filter("component_id <> doc_id"))
 
@@ -57,7 +88,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Contaminated documents go."""
     from lodestone.llm.decontaminate import contamination
 
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    keyed = _keyed(docs, "text")
+    return _without_rows(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), "row_key").filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

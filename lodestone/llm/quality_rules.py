@@ -176,7 +176,7 @@ def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(within, F.lit(False))).drop("_lang", "_source", "f")
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, COUNTS, base_failed, rates, kept), one row for each row of docs (doc_id, text, lang, source)."""
-    rated = with_rates(written(text_counts(docs), "counts"))
+def quality_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """(keep, COUNTS, base_failed, rates, kept), one row for each row of docs (text and keep, lang and source among it)."""
+    rated = with_rates(written(text_counts(docs, keep), "counts"))
     return judge(rated, fences(merged(sketches(rated))))

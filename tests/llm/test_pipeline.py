@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import language_id, oracles
+from tests.llm.conftest import DOCS, prose
 from tests.llm.test_packing import check
 from tests.oracle import SMALL, ask
 
@@ -45,3 +46,16 @@ def test_stages_take_odd_rows_and_empty_tables(spark, odd, empty):
         if name != "packing":
             assert out.columns == corpus_pipeline.COLUMNS
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_rows_are_judged_and_not_their_ids(spark):
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    good, more = prose(1, 80), prose(2, 80)
+    kept = corpus_pipeline.quality_stage(spark, frame([(1, good), (1, "too short"), (None, "too short"), (None, more)]), SMALL)
+    assert left(kept) == sorted([(1, good), (None, more)], key=str)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("length(text) > 100").first()["text"]
+    kept = corpus_pipeline.benchmark_stage(spark, frame([(1, good), (1, item), (None, item), (None, more)]), SMALL)
+    assert left(kept) == sorted([(1, good), (None, more)], key=str)
+    kept = corpus_pipeline.duplicate_stage(spark, frame([(1, good), (1, good), (None, more), (None, more), (2, prose(3, 80))]), SMALL)
+    assert left(kept) == sorted([(1, good), (None, more), (2, prose(3, 80))], key=str)

@@ -3,8 +3,9 @@
 A shard holds the ids of consecutive documents, in segments of SEGMENT tokens, each with a matrix of its own (one
 that fits a core's cache is built and read nearly twice as fast). A segment's alphabet is what occurs in it,
 renumbered densely; plane l holds bit l (from the top) of every symbol, after a stable partition by all bits above,
-zeros first. Rank counts are kept for every BLOCK bits, so access, counting of an id in a range, and finding its
-j-th occurrence take one rank or select a plane of a segment without decoding the rest.
+zeros first. Rank counts for every BLOCK bits are made in memory when first asked for; with them, access, counting of
+an id in a range, and finding its j-th occurrence take one rank or select a plane of a segment without decoding the
+rest.
 
 File: MAGIC, the length of a JSON header as 8 bytes, the header, then the sections it lists, each compressed by
 Zstandard: ``docs`` (int64 document ids, null as given by ``nulls``), ``ends`` (int64 token counts up to and with
@@ -39,7 +40,7 @@ from .tokens import encoder
 
 MAGIC = b"WAVELET1"
 SHARD_TOKENS, SEGMENT = 1 << 22, 1 << 18
-#: Bits between two stored rank counts.
+#: Bits between two rank counts.
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 

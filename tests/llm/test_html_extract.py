@@ -2,6 +2,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import html_extract
 from lodestone.llm.queries import op4_html_extract
@@ -11,7 +12,7 @@ PAGES = "page_id bigint, url string, html string"
 
 
 def text(page):
-    return "\n\n".join(t for t, _ in html_extract.lines(page))
+    return html_extract.article(html_extract.lines(page))
 
 
 def test_query_equals_brute_force(spark):
@@ -95,10 +96,12 @@ def test_longest_common_subsequence(seed):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, None), (2, "http://a.org/1", None), (2, "http://a.org/1", None), (None, "x", "<p>t"), (3, None, page("a", "b")), (4, "http://a.org/2", page(*map(str, range(3000))))]
-    frame = spark.createDataFrame(rows, PAGES).selectExpr("*", "'c' AS host", "'c' AS path", "'c' AS text", "1 AS gone", "2 AS part")
-    got = html_extract.extract(frame)
-    assert got.count() == 6 and {r["text"] for r in got.filter("html IS NULL" if "html" in got.columns else "n_chars = 0").collect()} == {""}
+    long = page(*map(str, range(3000)))
+    rows = [(1, None, None), (2, "http://a.org/1", None), (2, "http://a.org/1", None), (None, "x", "<p>t"), (3, None, page("a", "b")), (4, "http://a.org/2", long), (4, "http://a.org/2", ""), (None, None, "")]
+    frame = spark.createDataFrame(rows, PAGES).selectExpr("*", "'c' AS host", "'c' AS path", "'c' AS text", "1 AS gone", "2 AS part", "3 AS key", "4 AS id", "5 AS k1")
+    got = sorted(tuple(r) for r in html_extract.extract(frame).na.fill(-1, ["page_id"]).na.fill("", ["url"]).collect())
+    expected = [(-1 if i is None else i, u or "", text(h or "")) for i, u, h in rows]
+    assert got == sorted((*r, len(r[2])) for r in expected)
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
@@ -129,3 +132,88 @@ def test_marked_pages_are_differenced(spark):
     article = [(10 + i, f"http://a.org/{i}", f"<main><article><h1>T</h1>{block}<div><p>Both say so.</p></div><ul><li>salt</li></ul><p>Only {i}</p><p>More {i}</p>Bare</article></main>") for i in range(3)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(main + article, PAGES)).collect()}
     assert got == {i: f"Own {i}\n\nMore {i}" for i in range(3)} | {10 + i: f"T\n\nBoth say so.\n\nsalt\n\nOnly {i}\n\nMore {i}\n\nBare" for i in range(3)}
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<article><section id='search-algorithms'><p>a</p></section><p class='login-form'>How to log in</p></article>", "a\n\nHow to log in"),
+        ("<article><header><p>Standfirst</p><h1>T</h1></header><p>a</p></article>", "Standfirst\n\nT\n\na"),
+        ("<p data-x=it's>Hello</p><p>don't go</p><p>end</p>", "Hello\n\ndon't go\n\nend"),
+        ('<a href="x>one</a>', "one"),
+        ('<p>a</p><b title="q><p>c</p>', "a\n\nc"),
+        ("<p>a<b", "a"),
+        ("<p>1 < 2 <3</p>", "1 < 2 <3"),
+        ("<!-->a<!--->b<!-- c > d -->e<!-- f", "abe"),
+        ("<?php x ?>a</ b><!DOCTYPE html>c", "ac"),
+        ("<p a = 'x>y' b=\"z>\" c=d'>t</p>", "t"),
+        ("<article><p>tease</p></article><div>" + "word " * 200 + "</div>", "tease\n\n" + "word " * 199 + "word"),
+        ("<article><div class='comments-area'><p>nice</p></div><div class='ad-slot'>buy</div><p>a</p></article>", "a"),
+    ],
+)
+def test_no_text_is_lost(page, expected):
+    assert text(page) == expected
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a href="' * 116_000, "<a href='x>" * 50_000 + '<b t="' * 50_000, "<div>t" * 20_000, "<div class=ad>t" * 20_000, "<article><header>" * 20_000, "<" * 300_000, "<a " * 300_000, "<!--" * 200_000, "<p><b>x" * 30_000],
+    ids=str.__len__,
+)
+def test_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_extract.lines(page)
+    assert time.process_time() - began < 3
+
+
+def test_alignment_of_equal_lines_is_fast():
+    import time
+
+    began = time.process_time()
+    assert len(html_extract.common_lines([1, 2] * 10_000, [2, 1, 1] * 7_000)) > 10_000
+    assert len(html_extract.common_lines([1] * 20_000, [1] * 15_000)) == 15_000
+    assert time.process_time() - began < 3
+
+
+def test_differencing_decides(spark, monkeypatch):
+    """Without the alignment, the site's lines stay, in articles and in plain pages."""
+    box = "<div class='about-the-site notice-7x'>Follow our channel.</div>"
+    rows = [(i, f"http://a.org/{i}", f"<article><h1>T {i}</h1>{box}<p>Text {i}</p></article>") for i in range(4)] + [(10 + i, u, h) for i, (u, h) in enumerate(site("b.org", 4))]
+    frame = spark.createDataFrame(rows, PAGES)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    assert not any("Follow" in t or "Imprint" in t for t in got.values())
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()} == got
+    plain = {i: text(h) for i, _, h in rows}
+    assert all(t != got[i] for i, t in plain.items())
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "50"])
+def test_neighbours_are_the_nearest_different_pages(spark, parts):
+    """Pages by brute force: sorted, equal ones skipped, aligned with the nearest on either side."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        own = [f"own {rng.randrange(12)}" for _ in range(rng.randrange(1, 4))]
+        rows.append((rng.randrange(60), f"http://{rng.choice('ab')}.org/{rng.randrange(9)}", page("Name", *(own if rng.random() < 0.5 else ["copy"]), *(["Foot"] if rng.random() < 0.8 else []))))
+    rows += [rows[3], rows[50]]
+    frame = spark.createDataFrame(rows, PAGES).withColumns(dict(zip(("k1", "k2"), html_extract.row_key(F.col("page_id"), F.col("url"), F.col("html")), strict=True)))
+    keyed = sorted((r["url"].split("/")[2], r["url"].split("org")[1], r["page_id"], r["k1"], r["k2"], r["html"]) for r in frame.collect())
+    cuts = [html_extract.lines(r[-1]) for r in keyed]
+    expected = []
+    for at, (host, *_, page_id, _, _, _) in enumerate(keyed):
+        spans = (range(at - 1, -1, -1), range(at + 1, len(keyed)))
+        other = [next((j for j in span if keyed[j][0] != host or cuts[j] != cuts[at]), None) for span in spans]
+        near = [html_extract.outline(cuts[j]) if j is not None and keyed[j][0] == host else None for j in other]
+        expected.append((page_id, html_extract.article(cuts[at], html_extract.deletions(html_extract.outline(cuts[at]), *near))))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = [(r["page_id"], r["text"]) for r in html_extract.extract(frame.repartition(7)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == sorted(expected)

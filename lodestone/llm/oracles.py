@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, url_filter, warc
 from . import quality_rules as rules
+from .queries import URL_RULES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,9 +69,40 @@ reach AS (SELECT doc_id, doc_id AS root FROM jw UNION SELECT y, root FROM reach
 linked AS MATERIALIZED (SELECT jw.doc_id, coalesce(card.n, 0) AS n_shingles, least_root AS component_id FROM jw LEFT JOIN card USING (doc_id) JOIN (SELECT doc_id, min(root) AS least_root FROM reach GROUP BY doc_id) USING (doc_id))"""
 
 
+def url_sql(rules: list[tuple[str, str]], pages: str = "pages") -> str:
+    """A WITH RECURSIVE clause body that ends in ``verdicts``: combinations by counting every subset of every basket."""
+    given = ", ".join(f"('{verdict}', '{rule}', '{host}', '{path}')" for verdict, rule in rules for host, path in [url_filter.split_rule(rule)])
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    return rf"""
+given(verdict, rule, rhost, rpath) AS (VALUES {given}),
+cut AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM {pages}),
+baskets AS MATERIALIZED (SELECT *, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(host, '[.\-]'), lambda x: x <> ''), lambda x: 'host:' || x)
+  || list_transform(list_filter(regexp_split_to_array(translate(path, {lower}), '[/.\-_]'), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), lambda x: 'path:' || x))) AS t FROM cut),
+fits AS (SELECT rid, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS verdict FROM cut, given WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid),
+told AS MATERIALIZED (SELECT baskets.*, rule, verdict FROM baskets LEFT JOIN fits USING (rid)),
+counted AS MATERIALIZED (SELECT t, verdict, count(*) AS n FROM told WHERE rule IS NOT NULL GROUP BY ALL),
+subsets AS (SELECT t, verdict, n, i, [t[i]] AS s FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM counted) UNION ALL SELECT t, verdict, n, j, list_append(s, t[j]) FROM (SELECT *, unnest(range(i + 1, len(t) + 1)) AS j FROM subsets)),
+alone AS MATERIALIZED (SELECT s, sum(n) AS k FROM subsets GROUP BY s),
+strong AS MATERIALIZED (SELECT s, verdict, sum(n) AS k, sum(n) / any_value(alone.k) AS conf FROM subsets JOIN alone USING (s) GROUP BY s, verdict
+  HAVING sum(n) >= greatest({url_filter.MIN_SUPPORT} * (SELECT sum(n) FROM counted), {url_filter.MIN_COUNT}) AND sum(n) / any_value(alone.k) >= {url_filter.MIN_CONFIDENCE}),
+mined AS MATERIALIZED (SELECT * FROM strong a WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b.verdict = a.verdict AND b.conf >= a.conf AND len(b.s) < len(a.s) AND list_has_all(a.s, b.s))),
+matched AS (SELECT rid, arg_max(mined.verdict, (conf, k, len(s), mined.verdict)) AS verdict FROM told JOIN mined ON rule IS NULL AND list_has_all(t, s) GROUP BY rid),
+verdicts AS (SELECT page_id, host, path, rule, coalesce(told.verdict, matched.verdict, '{url_filter.ALLOW}') AS verdict FROM told LEFT JOIN matched USING (rid))"""
+
+
+def warc_sql(pages: str = "pages") -> str:
+    """A WITH clause body that ends in ``records``."""
+    return f"""
+heads AS MATERIALIZED (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM {pages}),
+firsts AS (SELECT payload_digest, min(page_id) AS refers_to FROM heads WHERE payload_bytes >= {warc.MIN_BYTES} GROUP BY payload_digest),
+records AS (SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> refers_to THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> refers_to THEN refers_to END AS refers_to FROM heads LEFT JOIN firsts USING (payload_digest))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
         "op1_ngram_join": f"WITH RECURSIVE {jaccard_sql()} SELECT * FROM linked",
         "op3_decontaminate": f"WITH {decontamination_sql()} SELECT * FROM contaminations",
+        "op5_warc": f"WITH {warc_sql()} SELECT * FROM records",
+        "op8_url_filter": f"WITH RECURSIVE {url_sql(URL_RULES)} SELECT * FROM verdicts",
     }

@@ -77,7 +77,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import url_filter
 
-    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES).drop("mined_rule")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@ import re
 
 from lodestone.llm import url_filter
 from lodestone.llm.queries import URL_RULES, op8_url_filter
-from tests.oracle import SMALL
+from lodestone.llm.registry import oracle_sql
+from tests.oracle import SMALL, ask, same
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,7 +53,7 @@ def expected(pages, rules):
     for i, (host, path) in parts.items():
         rule, verdict = told[i]
         if not rule:
-            hits = [(conf, k, len(s), " ".join(s), v) for (s, v), (conf, k) in mined.items() if set(s) <= tokens(host, path)]
+            hits = [(conf, k, len(s), v) for (s, v), (conf, k) in mined.items() if set(s) <= tokens(host, path)]
             verdict = max(hits)[-1] if hits else "allow"
         out[i] = host, path, rule, verdict
     return out
@@ -93,4 +94,40 @@ def test_rules_by_confidence_and_support(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter.url_filter(frame, URL_RULES).count() == 0
-    assert SMALL
+
+
+def test_query_equals_sql(spark):
+    same(op8_url_filter(spark, SMALL).toPandas(), ask(oracle_sql()["op8_url_filter"]))
+
+
+def test_random_baskets(spark, monkeypatch):
+    """Few words in many orders: classes, sure tokens and mixed combinations against counted subsets."""
+    import random
+
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    for seed in range(3):
+        rng = random.Random(seed)
+        pages = []
+        for i in range(600):
+            tld = rng.choice(["org", "biz", "info"])
+            words = [w for w in "abcdef" if rng.random() < 0.4] + (["pair-one", "pair-two"] if rng.random() < 0.3 else [])
+            words.append("x" if rng.random() < {"biz": 0.95, "org": 0.05, "info": 0.5}[tld] else "y")
+            pages.append((i, f"http://h{rng.randrange(3)}.{tld}/{'/'.join(words)}"))
+        frame = spark.createDataFrame(pages, "page_id bigint, url string")
+        rules = [("allow", "org/"), ("block", "biz/")]
+        got = rows(url_filter.url_filter(frame, rules))
+        assert got == expected(pages, rules)
+        assert len({v[3] for i, v in got.items() if v[2] is None}) == 2
+
+
+def test_long_urls_repeated(spark):
+    """Forty tokens in 10,000 copies, half of the tokens shared with the other verdict's long URL."""
+    import time
+
+    slug = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    pages = spark.range(10_000).selectExpr("id AS page_id", f"concat('http://a.', if(id % 2 = 0, 'org/{'-'.join(slug)}', 'biz/{'-'.join(slug[:20])}')) AS url")
+    began = time.time()
+    other = spark.createDataFrame([(-1, f"http://b.info/{slug[39]}/{slug[0]}"), (-2, f"http://b.info/{slug[3]}/{slug[0]}")], pages.schema)
+    got = url_filter.url_filter(pages.unionByName(other), [("allow", "org/"), ("block", "biz/")]).filter("page_id < 0").collect()
+    assert {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in got} == {-1: ("allow", "host:org"), -2: ("allow", None)}  # a class is shown by its least token
+    assert time.time() - began < 60

@@ -5,7 +5,8 @@ import pytest
 
 from lodestone.llm import warc
 from lodestone.llm.queries import op5_warc
-from tests.oracle import SMALL
+from lodestone.llm.registry import oracle_sql
+from tests.oracle import SMALL, ask, same
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -75,3 +76,7 @@ def test_pages_of_one_id_are_resolved_by_payload(spark):
     response = lambda i, u: (i, u, "response", None)
     assert got == [response(1, "u"), response(1, "u2"), (2, "v", "revisit", 1), response(2, "w"), response(3, "x"), (4, "y", "revisit", 1), (4, "z", "revisit", 3)]
     assert sorted((r["page_id"], r["url"], bytes(r["payload"])) for r in warc.restored(records).collect()) == sorted((i, u, h.encode()) for i, u, h in rows)
+
+
+def test_query_equals_sql(spark):
+    same(op5_warc(spark, SMALL).toPandas(), ask(oracle_sql()["op5_warc"]))

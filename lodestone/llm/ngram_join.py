@@ -2,7 +2,8 @@
 
 Documents are sets of word n-grams; two link when their Jaccard similarity is at least P / Q. The join is exact.
 
-* Documents with equal sets are one class, named by its least doc_id; from here on, classes are joined.
+* Documents with equal sets are one class, numbered when its row is written; from here on, classes are joined. A
+  class is represented by its row of least doc_id, which a key of 128 bits over id and text finds again.
 * A set of n tokens must share at least ceil(n P / Q) with any partner, so under any global token order the two
   prefixes of n - ceil(n P / Q) + 1 tokens have a token in common. Three orders are used. The first is rarest first
   (by frequency estimates, which need only be the same for all documents) and is joined on; position and length
@@ -18,12 +19,15 @@ Documents are sets of word n-grams; two link when their Jaccard similarity is at
 
 Frequency estimates: tokens that occur in SHOWN or more documents of a run of RUN tokens are summed over all runs,
 and the TABLE most frequent of them make the first order; all other tokens count as rare. Estimates bear on
-speed, never on results. Exact copies, crowds and stars cost rows in proportion to their documents.
+speed, never on results. Exact copies, crowds and stars cost rows in proportion to their documents. Candidates of one
+class are verified in runs of about GUESTS texts, each with a copy of its own text, so a class that meets very many is
+many tasks' work.
 
 Defined results: null text, empty text and text without words has the empty set, size 0, and is linked with
 nothing; a document of fewer than n words has one token, its whole sequence; repeated rows link as copies; a row
-with a null doc_id keeps its size, has a null component and links with nothing; rows that share a doc_id count as
-one document; an empty table gives an empty result; extra columns are never read."""
+with a null doc_id keeps its size, has a null component and links with nothing; rows that share a doc_id are in one
+component, as if linked, and each keeps the size of its own text; an empty table gives an empty result; extra columns
+are never read."""
 
 from __future__ import annotations
 
@@ -46,6 +50,10 @@ SHOWN, TABLE, RUN = 3, 1 << 19, 1 << 22
 CROWD = 128
 #: Centres (some kilobytes each) up to which they are broadcast.
 CENTRES = 4_000
+#: Candidates of a class that are verified in one run.
+GUESTS = 512
+#: Row keys (some 100 bytes each in Spark's table) up to which they are broadcast.
+KEYS = 300_000
 _SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -84,9 +92,16 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2): rows of equal doc_id and text have equal keys."""
+    parts = [x for c in ("doc_id", "text") for x in (F.col(c), F.col(c).isNull())]
+    keys = [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select("*", *keys)
+
+
 def survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row (doc_id, size, digest) for each document, and rows (token, seen) of what is frequent in a run of them."""
-    names = ["is_doc", "doc_id", "size", "digest", "token", "seen"]
+    """keyed docs -> a row (doc_id, k1, k2, size, digest) for each, and rows (token, seen) of what is frequent in a run of them."""
+    names = ["is_doc", "doc_id", "k1", "k2", "size", "digest", "token", "seen"]
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,21 +113,21 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
             # a token of k occurrences equals the one SHOWN - 1 places on k - SHOWN + 1 times
             again = every[SHOWN - 1 :][every[SHOWN - 1 :] == every[: len(every) - SHOWN + 1]] if len(every) >= SHOWN else every[:0]
             token, seen = np.unique(again, return_counts=True)
-            none = [pa.nulls(len(token), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(len(token), t) for t in (*[pa.int64()] * 4, pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([False] * len(token), pa.bool_()), *none, pa.array(_signed(token)), pa.array(seen.astype(np.int64) + SHOWN - 1)], names=names)
 
         for batch in stream:
             sets = [tokens(x, n) for x in utf8_views(batch.column("text"))]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             k = len(sets)
-            columns = [pa.array([True] * k, pa.bool_()), batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+            columns = [pa.array([True] * k, pa.bool_()), *(batch.column(c) for c in names[1:4]), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             held += sets
             if sum(map(len, held)) > RUN:
                 yield told()
         yield told()
 
-    return map_arrow(docs.select("doc_id", "text"), batches, "is_doc boolean, doc_id bigint, size bigint, digest binary, token bigint, seen bigint")
+    return map_arrow(docs, batches, "is_doc boolean, doc_id bigint, k1 bigint, k2 bigint, size bigint, digest binary, token bigint, seen bigint")
 
 
 def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +140,7 @@ def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count: np.ndarray) -> DataFrame:
-    """(doc_id, digest, size, first array<bigint>, second array<int>, third array<int>) of documents with words.
+    """keyed docs -> (doc_id, k1, k2, digest, size, first array<bigint>, second array<int>, third array<int>) of those with words.
 
     The second and third hold 32 bits of each token: equal tokens stay equal, and that is all a filter needs."""
     shared = docs.sparkSession.sparkContext.broadcast((often, count))  # at most TABLE tokens
@@ -133,29 +148,41 @@ def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for batch in stream:
-            ids, digests, sizes, cut = [], [], [], ([], [], [])
-            for doc, view in zip(batch.column("doc_id").to_pylist(), utf8_views(batch.column("text")), strict=True):
+            named, digests, sizes, cut = [], [], [], ([], [], [])
+            for doc, view in enumerate(utf8_views(batch.column("text"))):
                 found = tokens(view, n)
-                if doc is None or not len(found):
+                if not len(found):
                     continue
-                ids.append(doc)
+                named.append(doc)
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
                 for order in range(3):
                     first = by_order(found, order, known, times)[: prefix_size(len(found), p, q)]
                     cut[order].append((first >> U(32)).astype(np.uint32).view(np.int32) if order else _signed(first))
+            at = pa.array(named, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(cut[0], pa.int64()), _lists(cut[1], pa.int32()), _lists(cut[2], pa.int32())],
-                names=["doc_id", "digest", "size", "first", "second", "third"],
+                [*(batch.column(c).take(at) for c in ("doc_id", "k1", "k2")), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(cut[0], pa.int64()), _lists(cut[1], pa.int32()), _lists(cut[2], pa.int32())],
+                names=["doc_id", "k1", "k2", "digest", "size", "first", "second", "third"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), batches, "doc_id bigint, digest binary, size bigint, first array<bigint>, second array<int>, third array<int>")
+    return map_arrow(docs.filter("doc_id IS NOT NULL"), batches, "doc_id bigint, k1 bigint, k2 bigint, digest binary, size bigint, first array<bigint>, second array<int>, third array<int>")
 
 
 def classes(prefixed: DataFrame) -> DataFrame:
-    """(cid, size, first, second, third): the row of the least doc_id of each set; copies meet in the partial minimum."""
-    least = prefixed.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "first", "second", "third")).alias("r"))
-    return least.select(F.col("r.doc_id").alias("cid"), "r.size", "r.first", "r.second", "r.third")
+    """(cid, digest, doc_id, key, size, first, second, third), to be written at once, as cid numbers its rows: the row of
+    the least doc_id of each set. Copies meet in the partial minimum."""
+    least = prefixed.groupBy("digest").agg(F.min(F.struct("doc_id", "k1", "k2", "size", "first", "second", "third")).alias("r"))
+    return least.select(F.monotonically_increasing_id().alias("cid"), "digest", "r.doc_id", F.struct("r.k1", "r.k2").alias("key"), "r.size", "r.first", "r.second", "r.third")
+
+
+def texts_of(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """keyed docs -> (key, text), a row a key: rows that are repeated whole meet in partial aggregates, others aren't moved."""
+    texts = docs.select(F.struct("k1", "k2").alias("key"), "text")
+    again = written(surveyed.filter("is_doc").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("k1", "k2").alias("id")), "repeated")
+    if again.isEmpty():
+        return texts
+    held = by_ids(texts, "key", again, "left_semi", KEYS).groupBy("key").agg(F.first("text").alias("text"))
+    return by_ids(texts, "key", again, "left_anti", KEYS).unionByName(held)
 
 
 def postings(named: DataFrame, often: np.ndarray, count: np.ndarray) -> DataFrame:
@@ -202,14 +229,19 @@ def oriented(candidates: DataFrame) -> DataFrame:
     return both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("home"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
-def verified(pairs_at_home: DataFrame, homes: DataFrame, texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Candidates (home, other), a written table as is homes (id), whose full sets have a similarity of P / Q or more.
+def verified(at_home: DataFrame, named: DataFrame, texts: DataFrame, n: int, p: int, q: int, scratch: list[DataFrame]) -> DataFrame:
+    """Candidates (home, other) whose full sets have a similarity of P / Q or more, as (u, v).
 
-    A home's own text comes first in its run of rows, then those of its candidates: every text is shuffled once as a
-    home and once for each of its homes. texts: (cid, text)."""
-    guests = by_ids(texts, "cid", pairs_at_home.withColumnRenamed("other", "id"), "inner").select("home", F.col("cid").alias("other"), "text")
-    hosts = by_ids(texts, "cid", homes, "left_semi").select(F.col("cid").alias("home"), F.lit(None).cast("bigint").alias("other"), "text")
-    runs = hosts.unionByName(guests).repartition("home").sortWithinPartitions("home", F.col("other").asc_nulls_first())
+    A home's own text comes first in each of its runs of rows, then those of its candidates: every text is shuffled
+    once for each run as a home and once for each of its homes. texts: (key, text)."""
+    runs_of = at_home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / GUESTS).alias("runs"))
+    key = lambda name, to: named.select(F.col("cid").alias(name), F.col("key").alias(to))
+    homes = written(runs_of.join(key("home", "id"), "home"), "homes")
+    guests = written(at_home.join(homes.drop("id"), "home").withColumn("run", F.pmod(F.xxhash64("other"), F.col("runs"))).drop("runs").join(key("other", "id"), "other"), "guests")
+    scratch += [homes, guests]
+    invited = by_ids(texts, "key", guests, "inner", KEYS).select("home", "run", "other", "text")
+    hosts = by_ids(texts, "key", homes, "inner", KEYS).select("home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"), F.lit(None).cast("bigint").alias("other"), "text")
+    runs = hosts.unionByName(invited).repartition("home", "run").sortWithinPartitions("home", "run", F.col("other").asc_nulls_first()).drop("run")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
@@ -285,15 +317,12 @@ def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> CrowdStep
     return CrowdStep(stars, couples, deeper, [centre, off, best, least_far, local, entries, counts])
 
 
-def links(docs: DataFrame, surveyed: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(u, v): links between classes from which all links' components follow, each of them verified or proven."""
-    often, count = frequent(surveyed)
-    named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
+def links(named: DataFrame, texts: DataFrame, often: np.ndarray, count: np.ndarray, n: int, p: int, q: int) -> DataFrame:
+    """(u, v): links between classes from which all links' components follow, each of them verified or proven.
+    named: classes, a written table; texts: (key, text)."""
     posted = written(postings(named, often, count), "postings")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("cid"), "text").filter("cid IS NOT NULL")
-
     couples = [written(pairs(posted.filter(F.col("crowd") <= CROWD), p, q), "pairs")]
-    scratch, stars = [named, posted, *couples], []
+    scratch, stars = [posted, *couples], []
     members = posted.filter(F.col("crowd") > CROWD).select(F.col("token").alias("crowd"), "cid")
     while True:
         # crowds of the same classes are one
@@ -303,8 +332,8 @@ def links(docs: DataFrame, surveyed: DataFrame, n: int, p: int, q: int) -> DataF
         scratch.append(members)
         if members.isEmpty():
             break
-        ids = written(members.select(F.col("cid").alias("id")).distinct(), "member-ids")
-        step = crowd_step(members, token_sets(by_ids(texts, "cid", ids, "left_semi"), n), p, q)
+        ids = written(members.select("cid").distinct().join(named.select("cid", F.col("key").alias("id")), "cid"), "member-ids")
+        step = crowd_step(members, token_sets(by_ids(texts, "key", ids, "inner", KEYS), n), p, q)
         stars.append(written(step.stars, "stars"))
         couples.append(written(step.pairs, "pairs"))
         members = step.deeper
@@ -317,23 +346,37 @@ def links(docs: DataFrame, surveyed: DataFrame, n: int, p: int, q: int) -> DataF
     met = written(ends, "met")
     passed = written(filtered(candidates.distinct(), by_ids(named.select("cid", "second", "third"), "cid", met, "left_semi")), "passed")
     at_home = written(oriented(passed), "at-home")
-    homes = written(at_home.select(F.col("home").alias("id")).distinct(), "homes")
-    checked = verified(at_home, homes, texts, n, p, q)
+    checked = verified(at_home, named, texts, n, p, q, scratch)
     for more in stars:
         checked = checked.unionByName(more)
     found = written(checked, "links")
-    discard(*scratch, met, passed, at_home, homes)
+    discard(*scratch, met, passed, at_home)
     return found
 
 
+def shared_ids(each: DataFrame, named: DataFrame) -> DataFrame:
+    """(u, v): classes that have a doc_id in common, each with the least of them. each: (doc_id, digest) with words."""
+    several = written(each.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select(F.col("doc_id").alias("id")), "shared-ids")
+    of = by_ids(each, "doc_id", several, "left_semi").distinct().join(named.select("digest", "cid"), "digest").select("doc_id", "cid")
+    least = of.groupBy("doc_id").agg(F.min("cid").alias("v"))
+    return of.join(least, "doc_id").filter("cid <> v").select(F.col("cid").alias("u"), "v")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text)."""
+    docs = keyed(docs)
     surveyed = written(survey(docs, n), "survey")
-    edges = links(docs, surveyed, n, p, q)
-    rooted = components(edges)
-    each = surveyed.filter("is_doc").select("doc_id", "size", "digest")
-    named = each.filter("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"))
-    of = named.join(rooted.withColumnRenamed("node", "cid"), "cid", "left").select(F.col("digest").alias("id"), F.coalesce("root", "cid").alias("root"))
-    joined = by_ids(each, "digest", written(of, "roots"), "left", 0)  # a row a class: always shuffled
-    own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
+    often, count = frequent(surveyed)
+    named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
+    every = surveyed.filter("is_doc").select("doc_id", "size", "digest")
+    told = every.filter("size > 0 AND doc_id IS NOT NULL")
+    found = links(named, texts_of(docs, surveyed), often, count, n, p, q)
+    rooted = components(found.unionByName(shared_ids(told.select("doc_id", "digest"), named)))
+    linked = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+    least = linked.join(named.select(F.col("cid").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
+    of = linked.join(least, "root").select(F.col("node").alias("cid"), "component")
+    of = named.select("cid", "digest", "doc_id").join(of, "cid", "left").select(F.col("digest").alias("id"), F.coalesce("component", "doc_id").alias("component"))
+    joined = by_ids(every, "digest", written(of, "roots"), "left", 0)  # a row a class: always shuffled
+    discard(found, named)
+    own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))

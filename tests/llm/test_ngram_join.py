@@ -76,3 +76,44 @@ def test_components_equal_union_find(spark, seed):
 
 def test_no_edges(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def by_brute_force(rows, n=3, p=90, q=100):
+    """(doc_id, size, component) of rows (doc_id, text): rows of one id are linked, null ids aren't."""
+    def shingles(text):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+        return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, (x, a) in enumerate(zip(rows, sets, strict=True)):
+        for j, (y, b) in enumerate(zip(rows[:i], sets, strict=False)):
+            if a and b and x[0] is not None and y[0] is not None and (x[0] == y[0] or q * len(a & b) >= p * len(a | b)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {g: min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in group if not any(r[0] is None for r, h in zip(rows, group, strict=True) if h == g)}
+    return sorted(((r[0] is None, r[0] or 0), len(a), (r[0] is None, least.get(g) or 0)) for r, a, g in zip(rows, sets, group, strict=True))
+
+
+def found(df):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], (r["component_id"] is None, r["component_id"] or 0)) for r in df.collect())
+
+
+def test_shared_ids_of_different_texts(spark, monkeypatch):
+    """Texts of one id lie in one component, and links of either text hold."""
+    rng = random.Random(4)
+    base, other = prose(50, 59), prose(51, 59)
+    rows = [(5, base), (5, other), (9, edited(base, 1, rng)), (3, edited(other, 1, rng)), (8, prose(52, 30)), (8, ""), (None, base), (7, None), (7, prose(53, 40)), (6, prose(53, 40)), (6, prose(53, 40))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = by_brute_force(rows)
+    assert found(ngram_join.jaccard_components(frame)) == expected
+    monkeypatch.setattr(ngram_join, "KEYS", 0)
+    monkeypatch.setattr(ngram_join, "CROWD", 1)
+    assert found(ngram_join.jaccard_components(frame)) == expected
+
+
+@pytest.mark.parametrize("guests", [1, 3])
+def test_runs_of_candidates(spark, monkeypatch, guests):
+    monkeypatch.setattr(ngram_join, "GUESTS", guests)
+    rows = [(i, t) for i, t in enumerate(family(6, 30, 100, 4) + family(7, 10, 60, 2))]
+    assert found(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))) == by_brute_force(rows)

@@ -8,27 +8,34 @@ containment one necessary token is prefix enough: its rarest shingle.
    documents; shingles are ordered by it, rarest first, ties by hash.
 2. Every window keeps its first shingle in that order and the shingle's place in the window.
 3. A second scan joins document shingles to these prefixes. A match fixes where the window would have to begin.
-   Length and position bounds (it must begin at a word and end within the document) go first, then the words
-   are compared themselves, in the row that holds them; nothing but verified occurrences leaves the stage.
+   Length and position bounds (it must begin at a word and end within the document) go first, then the words there are
+   hashed and, where 128 bits agree, compared themselves.
 4. Words covered by occurrences are counted once each.
 
-The benchmark's shingles are broadcast only if they are counted to be at most BROADCAST_ROWS; beyond it the join
-is a shuffled one on the shingle's hash, which adaptive execution splits where it is skewed.
+What is broadcast are rows of a few numbers (shingle, place, size, the window's hash), if they are counted to be at most
+BROADCAST_ROWS. Beyond that, joins are shuffled: of documents, only (key, place, shingle) of each word moves, which
+adaptive execution splits where a shingle is frequent, and places that a window may begin at join back to the texts by
+key, broadcast up to KEYS texts.
+
+A text is known by a key of 128 bits of hash, so rows are judged by their own text, whatever their ids.
 
 Defined results: null or empty text has no words, and such an item no windows; repeated items count as items of
-their own with equal windows; rows that share a doc_id, null included, are judged by the hits of any of them; an empty benchmark hits nothing; ties in
-rarity don't change results; extra columns are never read."""
+their own with equal windows; an item with a null id hits words but isn't listed; rows that share a doc_id, null
+included, are judged each by its own text; an empty benchmark hits nothing; ties in rarity don't change results; extra
+columns are never read."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_ids, discard, written
 
 WINDOW, SHINGLE = 13, 3
-#: Rows (some 200 bytes each where they hold a window's words) up to which a table is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows of numbers (some 100 bytes each in Spark's table) up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
+#: Texts with places to compare (some 200 bytes each) up to which these are broadcast.
+KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,59 +59,97 @@ def windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.distinct().withColumn("size", F.size("tokens"))
 
 
-def _shingles_of(table: DataFrame, tokens: str, n: int) -> DataFrame:
-    """table plus (at, shingle) for each run of n words, and nothing for shorter rows."""
-    exploded = table.filter(F.size(tokens) >= n).select("*", F.posexplode(tokens).alias("at", "_word"))
-    return exploded.drop("_word").filter(F.col("at") <= F.size(tokens) - n).withColumn("shingle", _shingle(F.col(tokens), F.col("at"), n))
+def text_key(text: Column) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(F.lit(seed), text, text.isNull()).alias(f"k{seed}") for seed in (1, 2)]
+
+
+def _window_hash(tokens: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), tokens) for seed in (3, 4)]
+
+
+def _shingles_of(table: DataFrame, tokens: str, lengths: list[int], *kept: str) -> DataFrame:
+    """(kept, at, shingle) for each run of n words, n of lengths."""
+    placed = table.select(*kept, tokens, F.posexplode(tokens).alias("at", "_word"))
+    left = F.size(tokens) - F.col("at")
+    runs = [F.when(left >= n, _shingle(F.col(tokens), F.col("at"), n)) for n in lengths]
+    if len(runs) == 1:
+        return placed.filter(left >= lengths[0]).select(*kept, "at", runs[0].alias("shingle"))
+    return placed.select(*kept, "at", F.explode(F.array(*runs)).alias("shingle")).filter("shingle IS NOT NULL")
 
 
 def _sized(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(key, item_id, start, size): every occurrence of an item's window in a document's words."""
-    wanted = written(windows(benchmark, window), "windows")
-    lengths = [r["n"] for r in wanted.select(F.least("size", F.lit(SHINGLE)).alias("n")).distinct().collect()]  # at most SHINGLE rows
-    tokens = docs.select(key, words(F.col("text")).alias("w"))
-    found = None
-    for n in sorted(lengths):
-        of = wanted.filter(F.least("size", F.lit(SHINGLE)) == n).select(F.xxhash64("tokens").alias("id"), "tokens", "size", "item_id")
-        vocabulary = _shingles_of(of.select("tokens").distinct(), "tokens", n)
-        distinct = written(vocabulary.select("shingle").distinct(), "shingles")
-        frequency = _shingles_of(tokens, "w", n).select("shingle").join(_sized(distinct, distinct.count()), "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-        ordered = vocabulary.join(frequency, "shingle", "left")
-        # the first shingle in the global order (frequency, hash); one that no document has makes the window impossible
-        first = ordered.groupBy("tokens").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("p"))
-        prefixes = written(first.filter("p.df > 0").select(F.col("p.shingle").alias("shingle"), F.col("p.at").alias("lead"), "tokens", F.size("tokens").alias("size")), "prefixes")
-        scanned = _shingles_of(tokens, "w", n)
-        met = scanned.join(_sized(prefixes, prefixes.count()), "shingle")
-        begin = F.col("at") - F.col("lead")
-        fits = (begin >= 0) & (begin + F.col("size") <= F.size("w"))
-        same = F.when(fits, F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("size")) == F.col("tokens")).otherwise(F.lit(False))
-        hits = met.filter(same).select(key, begin.alias("start"), "size", F.xxhash64("tokens").alias("id"), "tokens")
-        named = hits.join(_sized(of, of.count()).drop("size"), ["id", "tokens"]).select(key, "item_id", "start", "size")
-        found = named if found is None else found.unionByName(named)
-    if found is None:
-        item = benchmark.schema["item_id"].dataType.simpleString()
-        return docs.filter(F.lit(False)).select(key, F.lit(None).cast(item).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("size"))
-    return found
+def prefixes(texts: DataFrame, wanted: DataFrame, lengths: list[int], scratch: list[DataFrame]) -> DataFrame:
+    """(shingle, lead, size, h1, h2), a written table: each window's first shingle in the global order (frequency, hash).
+    One that no document has makes the window impossible."""
+    own = F.least("size", F.lit(SHINGLE))
+    of = wanted.select("h1", "h2", "size", "tokens").distinct()
+    vocabulary = None
+    for n in lengths:  # at most SHINGLE
+        each = _shingles_of(of.filter(own == n), "tokens", [n], "h1", "h2", "size")
+        vocabulary = each if vocabulary is None else vocabulary.unionByName(each)
+    vocabulary = written(vocabulary, "vocabulary")
+    known = written(vocabulary.select("shingle").distinct(), "shingles")
+    rows, every = known.count(), _shingles_of(texts, "w", lengths).select("shingle")
+    count = F.count(F.lit(1)).alias("df")
+    # a vocabulary that can't be broadcast meets sums, not rows
+    frequency = every.join(F.broadcast(known), "shingle").groupBy("shingle").agg(count) if rows <= BROADCAST_ROWS else every.groupBy("shingle").agg(count).join(known, "shingle")
+    frequency = written(frequency, "frequencies")
+    first = vocabulary.join(_sized(frequency, rows), "shingle", "left").groupBy("h1", "h2", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("p"))
+    scratch += [vocabulary, known, frequency]
+    return written(first.filter("p.df > 0").select(F.col("p.shingle").alias("shingle"), F.col("p.at").alias("lead"), "size", "h1", "h2"), "prefixes")
+
+
+def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """texts (k1, k2, w), w being words -> (k1, k2, item_id, start, size), a written table: every occurrence of an item's
+    window in a text. Equal texts are one."""
+    h1, h2 = _window_hash(F.col("tokens"))
+    wanted = written(windows(benchmark, window).withColumns({"h1": h1, "h2": h2}), "windows")
+    lengths = sorted(r["n"] for r in wanted.select(F.least("size", F.lit(SHINGLE)).alias("n")).distinct().collect())  # at most SHINGLE rows
+    scratch = [wanted]
+    if not lengths:
+        item = benchmark.schema["item_id"].dataType
+        return texts.filter(F.lit(False)).select("k1", "k2", F.lit(None).cast(item).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("size"))
+    first = prefixes(texts, wanted, lengths, scratch)
+    scratch.append(first)
+    begin = (F.col("at") - F.col("lead")).alias("start")
+    found = F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("size"))
+    if first.count() <= BROADCAST_ROWS:
+        met = _shingles_of(texts, "w", lengths, "k1", "k2", "w").join(F.broadcast(first), "shingle").select("k1", "k2", "w", begin, "size", "h1", "h2")
+    else:
+        every = _shingles_of(texts.withColumn("n", F.size("w")), "w", lengths, "k1", "k2", "n")
+        may = every.join(first, "shingle").select("k1", "k2", "n", begin, "size", "h1", "h2").filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+        may = may.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "h1", "h2")).alias("places"))
+        may = written(may.select(F.struct("k1", "k2").alias("id"), "places"), "places")  # at most a text's words have windows
+        scratch.append(may)
+        met = by_ids(texts.withColumn("key", F.struct("k1", "k2")), "key", may, "inner", KEYS).select("k1", "k2", "w", F.inline("places"))
+    fits = (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w"))
+    alike = [F.when(fits, a).otherwise(F.lit(None)) == F.col(b) for a, b in zip(_window_hash(found), ("h1", "h2"), strict=True)]
+    hits = written(met.filter(fits & alike[0] & alike[1]).select("k1", "k2", "start", "size", "h1", "h2", found.alias("tokens")).distinct(), "hits")
+    scratch.append(hits)
+    same = wanted.drop("size").withColumnRenamed("tokens", "words")
+    named = written(hits.join(same, ["h1", "h2"]).filter("tokens = words").select("k1", "k2", "item_id", "start", "size"), "occurrences")
+    discard(*scratch)
+    return named
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs."""
-    hits = written(occurrences(docs, benchmark, key, window), "occurrences")
-    spans = hits.select(key, "start", "size").distinct()
-    covered = spans.select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_hit"))
+    keyed = docs.select(key, *text_key(F.col("text")), words(F.col("text")).alias("w"))
+    hits = occurrences(keyed.drop(key), benchmark, window)
+    covered = hits.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
     # distinct items of a document: at most as many as its words have windows
-    items = hits.groupBy(key).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    counted = docs.select(key, F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    judged = covered.join(items, covered[key].eqNullSafe(items[key])).select(covered[key].alias("_key"), "n_hit", "items")
-    joined = counted.join(judged, counted[key].eqNullSafe(judged["_key"]), "left")
+    items = hits.groupBy("k1", "k2").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    listed = F.array_sort("items")
+    judged = written(covered.join(items, ["k1", "k2"]).select(F.struct("k1", "k2").alias("id"), "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256")), "judged")
+    counted = keyed.select(key, F.struct("k1", "k2").alias("_text"), F.size("w").cast("bigint").alias("n_words"))
+    joined = by_ids(counted, "_text", judged, "left", KEYS)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        key, "n_words", n_hit.alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(listed), ","), 256).alias("items_sha256"),
+        key, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -29,10 +29,11 @@ def documents():
     ]
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_cases_equal_sql(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "keys"), [(0, 0), (0, 1000), (100_000, 0), (100_000, 1000)])
+def test_cases_equal_sql(spark, monkeypatch, limit, keys):
     """Broadcast and shuffled joins."""
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "KEYS", keys)
     docs = spark.createDataFrame(documents(), "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     same(decontaminate.contamination(docs, items).toPandas(), ask(SQL, documents=docs.toPandas(), benchmark=items.toPandas()))
@@ -56,3 +57,41 @@ def test_odd_rows(spark, odd, empty):
     clean = decontaminate.contamination(odd, items.limit(0)).collect()
     assert len(clean) == odd.count() and not any(r["contaminated"] for r in clean)
     assert spark.createDataFrame([], DOCS).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch, limit):
+    """Null and shared ids, by brute force: every row as if it stood alone."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    texts = [t for _, t in documents()]
+    rows = [(7 if i % 3 else None, t) for i, t in enumerate(texts + texts[:4])]
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), items).collect()
+    numbered = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id bigint, text string").toPandas()
+    alone = ask(SQL, documents=numbered, benchmark=items.toPandas())
+    ids = [i for i, _ in rows]
+    columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    expected = [(ids[r["doc_id"]], *(r[c] for c in columns)) for r in alone.to_dict("records")]
+    assert sorted(map(str, ((r["doc_id"], *(r[c] for c in columns)) for r in got))) == sorted(map(str, expected))
+    assert all(r["n_hit"] <= r["n_words"] for r in got)
+
+
+def test_shuffled_joins_move_no_texts(spark, monkeypatch):
+    """Nothing but numbers of documents is exchanged, in any query of the run."""
+    import re
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    moved = {}
+    real = decontaminate.written
+
+    def written(df, name):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        moved[name] = {c.split("#")[0].strip() for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan) for c in found.split(",")}
+        return real(df, name)
+
+    monkeypatch.setattr(decontaminate, "written", written)
+    docs = spark.createDataFrame(documents(), "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    decontaminate.contamination(docs, items).collect()
+    assert "shingle" in moved["frequencies"] and "shingle" in moved["places"]
+    assert not (moved["frequencies"] | moved["places"]) & {"w", "text", "tokens"}

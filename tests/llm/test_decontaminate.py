@@ -92,6 +92,11 @@ def test_shuffled_joins_move_no_texts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "written", written)
     docs = spark.createDataFrame(documents(), "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    decontaminate.contamination(docs, items).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decontaminate.contamination(docs, items).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "shingle" in moved["frequencies"] and "shingle" in moved["places"]
     assert not (moved["frequencies"] | moved["places"]) & {"w", "text", "tokens"}

@@ -5,12 +5,14 @@ A byte costs -log2(count / (total + distinct)) in the longest context in which i
 longer known context in between costs the escape -log2(distinct / (total + distinct)) (method C, without
 exclusions), and a byte that the language has never seen costs 8 bits after the last escape. Contexts that a
 language has not seen cost nothing. Statistics are frozen after training, so the cost of a byte depends on its
-ORDER predecessors alone: the trees are compiled into one table (context, byte) -> costs in all languages, and a
-text's code lengths are sums of looked-up rows.
+ORDER predecessors alone. A model keeps, for each language and depth, sorted tables of its own contexts and of the bytes
+that followed them, so its size is linear in what was learned, whatever other languages or bytes there are. The
+distinct runs of ORDER + 1 bytes of a stretch of texts are looked up once, and the code lengths of its texts are sums
+of these costs.
 
 Training reads the whole texts of a bounded sample of the labelled rows: SAMPLE_DOCS documents a language
-expected, chosen by a hash of doc_id. Counts merge by addition over tasks. The compiled trees keep every context of
-the sample, so a language with little training text loses none to larger ones.
+expected, chosen by a hash of doc_id. Counts merge by addition over tasks. The trees keep every context of the sample, so a
+language with little training text loses none to larger ones.
 
 Defined results: zero bytes count as bytes never seen; null text or text without a letter is `und` with score 0, as is everything if nothing was
 learned; repeated rows get equal results; a tie goes to the first language in string order; empty tables give
@@ -33,38 +35,108 @@ SAMPLE_DOCS = 1500
 UNDETERMINED = "und"
 #: Bits a byte above which a text reads like none of the learned languages (uniform bytes cost 8 and more).
 FOREIGN_BITS = 6.5
-CHUNK = 1 << 18
+#: Costs (runs of bytes x languages) that are looked up at once.
+CHUNK = 1 << 22
+SLOTS = 18
+
+
+def _within(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether and where a sorted table holds each of the keys."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
+@dataclass
+class Depth:
+    """One language's contexts of one length: codes of their bytes, and of them and the byte that followed."""
+
+    contexts: np.ndarray
+    escape: np.ndarray  # bits
+    runs: np.ndarray
+    cost: np.ndarray  # bits
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray  # byte -> class; 0: not seen in training
-    context: np.ndarray  # code of ORDER classes -> row
-    cost: np.ndarray  # (row * n_classes + class, language) in bits
+    trees: list[list[Depth]]  # by language and depth
 
     @property
-    def n_classes(self) -> int:
-        return int(self.classes.max()) + 1
+    def size(self) -> int:
+        """Bytes."""
+        return sum(x.nbytes for tree in self.trees for d in tree for x in (d.contexts, d.escape, d.runs, d.cost))
+
+    def gram_costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run of ORDER + 1 bytes, by language."""
+        costs = np.zeros((len(grams), len(self.languages)))
+        for which, tree in enumerate(self.trees):
+            left, bits = np.arange(len(grams)), np.zeros(len(grams))
+            for depth in range(ORDER, -1, -1):
+                own, run = tree[depth], grams[left] & ((1 << 8 * (depth + 1)) - 1)
+                known, at = _within(own.contexts, run >> 8)
+                seen, to = _within(own.runs, run)
+                # a run with padding has the code of another one, but a context with padding is never known
+                seen &= known
+                bits[left[seen]] += own.cost[to[seen]]
+                escaped = known & ~seen
+                bits[left[escaped]] += own.escape[at[escaped]]
+                left = left[~seen]
+            bits[left] += 8
+            costs[:, which] = bits
+        return costs
+
+    def code_lengths_of(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Bits of each text, none of them empty, under every language."""
+        total = np.zeros((len(texts), len(self.languages)))
+        room = max(1, CHUNK // max(1, len(self.languages)))
+        held: list[tuple[int, np.ndarray]] = []
+
+        def add() -> None:
+            grams = np.concatenate([x for _, x in held])
+            known = np.unique(grams)
+            costs = self.gram_costs(known)[_places(known, grams)]
+            starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+            np.add.at(total, [i for i, _ in held], np.add.reduceat(costs, starts, axis=0))
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for first in range(0, len(text), room):
+                piece = text[max(first - ORDER, 0) : first + room]
+                held.append((i, _grams(piece)[min(first, ORDER) :]))
+                size += len(held[-1][1])
+                if size >= room:
+                    add()
+                    size = 0
+        if held:
+            add()
+        return total
 
     def code_lengths(self, text: np.ndarray) -> np.ndarray:
-        """Bits of the text under every language."""
-        a = self.n_classes
-        total = np.zeros(len(self.languages))
-        padded = np.zeros(len(text) + ORDER, np.int64)
-        padded[ORDER:] = self.classes[text]
-        for at in range(0, len(text), CHUNK):
-            part = padded[at : at + CHUNK + ORDER]
-            n = len(part) - ORDER
-            code = part[:n].copy()
-            for j in range(1, ORDER):
-                code *= a
-                code += part[j : j + n]
-            row = self.context[code].astype(np.int64)
-            row *= a
-            row += part[ORDER:]
-            total += self.cost[row].sum(axis=0, dtype=np.float64)
-        return total
+        return self.code_lengths_of([text])[0] if len(text) else np.zeros(len(self.languages))
+
+
+def _places(known: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places of grams in known, which holds them all: by a table of hashes, and by search where one was taken."""
+    of = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+    slots = np.zeros(1 << SLOTS, np.int32)
+    slots[of(known)] = np.arange(len(known), dtype=np.int32)
+    at = slots[of(grams)]
+    missed = np.flatnonzero(known[at] != grams)
+    at[missed] = np.searchsorted(known, grams[missed])
+    return at
+
+
+def _grams(text: np.ndarray) -> np.ndarray:
+    """Codes of the runs of ORDER + 1 bytes that end at each byte, padded with zeros before the text."""
+    padded = np.zeros(len(text) + ORDER, np.uint32)
+    padded[ORDER:] = text
+    code = np.zeros(len(text), np.uint32)
+    for j in range(ORDER + 1):
+        code = code * np.uint32(256) + padded[j : j + len(text)]
+    return code
 
 
 def has_letter(text: np.ndarray) -> bool:
@@ -100,12 +172,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
         for batch in stream:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8_views(batch.column("text")), strict=True):
-                padded = np.zeros(len(text) + ORDER, np.uint32)
-                padded[ORDER:] = text
-                code = np.zeros(len(text), np.uint32)
-                for j in range(ORDER + 1):
-                    code = code * np.uint32(256) + padded[j : j + len(text)]
-                parts.setdefault(lang, []).append(code)
+                parts.setdefault(lang, []).append(_grams(text))
                 held += len(text)
                 if held > 1 << 24:
                     yield from flush()
@@ -124,67 +191,26 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
 
 def compile_model(langs: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
     languages = sorted(set(langs))
-    if not languages:
-        return Model([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    # Padding is byte 0, so zero bytes of texts are not learned.
-    learned = (grams & 255) > 0
-    which, grams, counts = np.searchsorted(languages, langs)[learned], grams[learned], counts[learned]
-    octets = np.stack([(grams >> (8 * (ORDER - j))) & 255 for j in range(ORDER + 1)])
-    classes = np.zeros(256, np.int64)
-    seen = np.unique(octets[ORDER])
-    classes[seen] = np.arange(1, len(seen) + 1)
-    a = len(seen) + 1
-    symbol, before = classes[octets[ORDER]], classes[octets[:ORDER]]
-
-    context = np.zeros(a**ORDER, np.int32)
-    cost = np.full((1, a, len(languages)), 8.0)
-    tables = []
-    for depth in range(ORDER + 1):
-        valid = np.all(before[ORDER - depth :] > 0, axis=0) if depth else np.ones(symbol.shape, bool)
-        code = np.zeros(valid.sum(), np.int64)
-        for j in range(ORDER - depth, ORDER):
-            code = code * a + before[j][valid]
-        nodes, inverse = np.unique(code, return_inverse=True)
-        n = np.zeros((len(nodes), a, len(languages)))
-        np.add.at(n, (inverse, symbol[valid], which[valid]), counts[valid])
-        total, distinct = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        parent_rows = np.zeros(len(nodes), np.int64)
-        if depth:
-            parent_rows = tables[-1](nodes % a ** (depth - 1))
-        below = cost[parent_rows]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-            own = np.where(n > 0, -np.log2(n / (total + distinct)), escape + below)
-        first = 0 if depth == 0 else len(cost)
-        cost = own if depth == 0 else np.concatenate([cost, own])
-        context = _extend(context, a, depth, nodes, first)
-        tables.append(_finder(nodes, first, tables[-1] if tables else None, a, depth))
-    return Model(languages, classes, context, cost.reshape(-1, len(languages)).astype(np.float32))
-
-
-def _finder(nodes: np.ndarray, first: int, shorter, a: int, depth: int):
-    """Rows of contexts of this depth by code; that of the longest known suffix where one isn't known."""
-
-    def rows(code: np.ndarray) -> np.ndarray:
-        if not len(nodes):
-            return shorter(code % a ** max(depth - 1, 0)) if shorter else np.zeros(len(code), np.int64)
-        at = np.minimum(np.searchsorted(nodes, code), len(nodes) - 1)
-        found = nodes[at] == code
-        other = shorter(code % a ** (depth - 1)) if shorter else np.zeros(len(code), np.int64)
-        return np.where(found, first + at, other)
-
-    return rows
-
-
-def _extend(context: np.ndarray, a: int, depth: int, nodes: np.ndarray, first: int) -> np.ndarray:
-    """Points every full-length code that ends in one of the nodes at it; longer ones come later and win."""
-    if depth:
-        view = context.reshape(-1, a**depth)
-        view[:, nodes] = np.arange(first, first + len(nodes), dtype=np.int32)
-    return context
-
-
-
+    learned = (grams & 255) > 0  # padding is byte 0, so zero bytes of texts are not learned
+    which = np.searchsorted(languages, langs) if languages else np.empty(0, np.int64)
+    trees = []
+    for i in range(len(languages)):
+        own = learned & (which == i)
+        trees.append([_depth(grams[own], counts[own], depth) for depth in range(ORDER + 1)])
+    return Model(languages, trees)
+
+
+def _depth(grams: np.ndarray, counts: np.ndarray, depth: int) -> Depth:
+    inside = np.ones(len(grams), bool)
+    for j in range(1, depth + 1):  # contexts with padding aren't contexts
+        inside &= (grams >> 8 * j & 255) > 0
+    runs, at = np.unique(grams[inside] & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+    n = np.bincount(at, counts[inside], len(runs))
+    contexts, of, distinct = np.unique(runs >> 8, return_inverse=True, return_counts=True)
+    total = np.bincount(of, n, len(contexts))
+    escape = -np.log2(distinct / (total + distinct))
+    cost = -np.log2(n / (total + distinct)[of])
+    return Depth(contexts.astype(np.uint32), escape.astype(np.float32), runs.astype(np.uint32), cost.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -192,17 +218,18 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     langs = model.languages
 
-    def judge(text: np.ndarray | None, m: Model) -> tuple[str, float, float | None]:
-        if text is None or not langs or not has_letter(text):
-            return UNDETERMINED, 0.0, None
-        bits = m.code_lengths(text)
-        best = int(bits.argmin())
-        return langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text))
+    def judge(texts: list[np.ndarray | None], m: Model) -> list[tuple[str, float, float | None]]:
+        rows: list[tuple[str, float, float | None]] = [(UNDETERMINED, 0.0, None)] * len(texts)
+        told = [i for i, text in enumerate(texts) if langs and text is not None and has_letter(text)]
+        for i, bits in zip(told, m.code_lengths_of([texts[i] for i in told]), strict=True):
+            best = int(bits.argmin())
+            rows[i] = langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(texts[i]))
+        return rows
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in stream:
-            rows = [judge(x, m) for x in utf8_views(batch.column("text"))]
+            rows = judge(list(utf8_views(batch.column("text"))), m)
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "lang_pred", "score", "bits_per_byte"])
 

@@ -17,15 +17,19 @@ def grams(texts):
     return [k[0] for k in found], np.array([k[1] for k in found], np.int64), np.array(list(found.values()), np.int64)
 
 
-def code_length(training: list[bytes], text: bytes) -> float:
-    """Method C, one byte after the other, from counts in dictionaries."""
+def tree(training: list[bytes]) -> dict[bytes, dict[int, int]]:
     seen: dict[bytes, dict[int, int]] = {}
     for t in training:
         for i, b in enumerate(t):
             for depth in range(ppm.ORDER + 1):
-                if i >= depth:
+                if i >= depth and 0 not in t[i - depth : i + 1]:
                     node = seen.setdefault(t[i - depth : i], {})
                     node[b] = node.get(b, 0) + 1
+    return seen
+
+
+def bits_of(seen: dict[bytes, dict[int, int]], text: bytes) -> float:
+    """Method C, one byte after the other, from counts in dictionaries."""
     bits = 0.0
     for i, b in enumerate(text):
         for depth in range(min(ppm.ORDER, i), -1, -1):
@@ -42,6 +46,10 @@ def code_length(training: list[bytes], text: bytes) -> float:
     return bits
 
 
+def code_length(training: list[bytes], text: bytes) -> float:
+    return bits_of(tree(training), text)
+
+
 TEXTS = [("a", "the cat sat on the mat, the hat"), ("a", "then he sat"), ("b", "der hund und die katze, üben"), ("b", "und dann das")]
 
 
@@ -101,3 +109,47 @@ def test_rare_languages_keep_their_contexts():
     for text in ("ÄÖÜ ßÄÖ", frequent[100:160]):
         expected = [code_length([t.encode() for at, t in texts if at == lang], text.encode()) for lang in model.languages]
         assert model.code_lengths(np.frombuffer(text.encode(), np.uint8)) == pytest.approx(expected, rel=1e-5)
+
+
+def test_query_equals_brute_force(spark):
+    """Sample, counts, code lengths and posterior of the whole query, from the table alone."""
+    import zlib
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()
+    apart = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in docs}
+    langs = sorted({r["lang"] for r in docs if r["lang"] is not None and not apart[r["doc_id"]]})
+    trees = [tree([r["text"].encode() for r in docs if r["lang"] == lang and r["text"] and not apart[r["doc_id"]]]) for lang in langs]
+    got = {r["doc_id"]: r for r in op2_language_id(spark, small).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        row, text = got[r["doc_id"]], r["text"] or ""
+        assert row["held_out"] == apart[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        bits = np.array([bits_of(t, text.encode()) for t in trees])
+        order = np.sort(bits)
+        assert row["bits_per_byte"] == pytest.approx(order[0] / len(text.encode()), rel=1e-5)
+        if order[1] - order[0] > 1e-2:
+            assert row["lang_pred"] == langs[int(bits.argmin())]
+            assert row["score"] == pytest.approx(1 / np.exp2(np.maximum(order[0] - bits, -1000)).sum(), abs=1e-2)
+
+
+def test_size_is_linear_in_what_was_learned():
+    """A script of its own costs the others nothing."""
+    latin = [("a", "the cat sat on the mat, the hat " * 3), ("b", "der hund und die katze üben " * 3)]
+    other = [("c", "кошка сидела на ковре " * 3)]
+    size = lambda texts: ppm.compile_model(*grams(texts)).size
+    assert size(latin + other) == size(latin) + size(other)
+    many = [(f"l{i}", t) for i in range(20) for _, t in latin[:1]]
+    assert size(many) == 20 * size(latin[:1])
+
+
+def test_texts_of_a_batch_are_apart(monkeypatch):
+    model = ppm.compile_model(*grams(TEXTS))
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in ("the cat", "x", "und dann \0 das", "ü" * 50)]
+    alone = np.array([model.code_lengths(t) for t in texts])
+    for chunk in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(ppm, "CHUNK", chunk)
+        assert model.code_lengths_of(texts) == pytest.approx(alone)

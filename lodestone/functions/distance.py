@@ -1,14 +1,18 @@
-"""Distance expressions over array columns. All arithmetic is in double."""
+"""Distance expressions over array columns. All arithmetic is in double, summed from the first dimension to the last."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 #: Up to this many dimensions a distance is written out term by term, which stays inside whole-stage
 #: code generation; beyond it, a higher-order function keeps the generated method small.
 UNROLL_LIMIT = 64
@@ -43,28 +47,33 @@ def dist(left: Column, right: Sequence[float]) -> Column:
     return F.sqrt(sq_dist(left, right))
 
 
+def matrix_of(vectors: pa.Array, d: int) -> np.ndarray:
+    """The rows of an Arrow array of lists of d doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def squared(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """(n, k) squared distances, in the same order of summation as the expressions."""
+    total = np.zeros((len(x), len(centroids)))
+    for j in range(centroids.shape[1]):
+        total += (x[:, j, None] - centroids[None, :, j]) ** 2
+    return total
+
+
 def centroid_distances(features: Column, centroids: Sequence[Sequence[float]]) -> Column:
     """array<double> of squared distances to every centroid: generated code for few terms, otherwise one
-    Arrow batch at a time in NumPy, in the same order of summation."""
+    Arrow batch at a time in NumPy."""
     if len(centroids) * len(centroids[0]) <= UNROLL_TERMS:
         return F.array(*[sq_dist(features, c) for c in centroids])
     matrix = np.asarray(centroids, dtype=np.float64)
 
-    @F.pandas_udf("array<double>")
-    def squared(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def distances(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.empty((0, matrix.shape[1]))
-            total = np.zeros((len(x), len(matrix)))
-            for j in range(matrix.shape[1]):
-                total += (x[:, j, None] - matrix[None, :, j]) ** 2
-            yield pd.Series(list(total))
-
-    return squared(features)
-
+            found = squared(matrix_of(batch, matrix.shape[1]), matrix)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(matrix)), pa.array(found.ravel()))
 
-def sq_dist_lazy(left: Column, right: Sequence[float]) -> Column:
-    """As sq_dist, in a form small enough to stand under many conditions."""
-    return sq_dist(left, right) if len(right) <= 8 else sq_dist_columns(left, as_vector(right))
+    return distances(features)
 
 
 def nearest(distances: Column) -> Column:

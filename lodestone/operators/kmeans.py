@@ -2,36 +2,47 @@
 
 The k x d centroids live on the driver between iterations (bounded by k, not by the input); a step is one
 pass over the points: project distances, take the argmin, aggregate sums partially and finally. Labels are
-those against the centroids *before* the last update (label lag): a step labels, then updates."""
+those against the centroids *before* the last update (label lag): a step labels, then updates. A point without a vector,
+or with one of another length, fails the job."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.distance import centroid_distances, nearest, sq_dist_lazy
+from ..functions.distance import centroid_distances, matrix_of, nearest, squared
+from ..functions.positions import ranked
+from ..functions.vectors import require_dimension
+from ..session import discard
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 Matrix = list[list[float]]
 #: Iteration stops when the L1 shift of all centroids falls below this fixed value.
 MAX_ERR = 1e-6
 
 
 def init_strided(points: DataFrame, k: int) -> Matrix:
-    """Centroid i is the point at position i * (n div k) in id order; positions come from per-partition counts
-    of a range-sorted frame, not from one global window."""
+    """Centroid i is the point at position i * (n div k) in id order; points of one id go by a hash of their vectors.
+    Only ids and hashes are sorted."""
     n = points.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must be between 1 and the number of points, {n}")
-    step = n // k
-    wanted = [i * step for i in range(k)]
-    ids = points.select("id").sort("id").rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda x, w=frozenset(wanted): x[1] in w)
-    order = {row_id: at for row_id, at in ids.collect()}  # k rows
-    rows = points.filter(F.col("id").isin(list(order))).select("id", "features").collect()
-    return [list(r["features"]) for r in sorted(rows, key=lambda r: order[r["id"]])]
+    mark = F.xxhash64("features").alias("mark")
+    placed, table = ranked(points.select("id", mark), "at", "id", "mark")
+    wanted = placed.filter((F.col("at") % (n // k) == 0) & (F.col("at") < k * (n // k))).collect()  # k rows
+    discard(table)
+    ids = list({r["id"] for r in wanted})
+    rows = points.select("id", mark, "features").filter(F.col("id").isin(ids)).distinct().collect()  # k rows, and others of their ids
+    vectors = {(r["id"], r["mark"]): list(r["features"]) for r in rows}
+    return [vectors[r["id"], r["mark"]] for r in sorted(wanted, key=lambda r: r["at"])]
 
 
 def centroid_frame(spark: SparkSession, centroids: Matrix) -> DataFrame:
@@ -43,12 +54,12 @@ def centroid_frame(spark: SparkSession, centroids: Matrix) -> DataFrame:
 def distance_matrix(points: DataFrame, centroids: Matrix) -> DataFrame:
     """(id, cluster_id, distance), n x k rows."""
     roots = F.transform(centroid_distances(F.col("features"), centroids), F.sqrt)
-    return points.select("id", F.posexplode(roots).alias("cluster_id", "distance"))
+    return require_dimension(points, len(centroids[0])).select("id", F.posexplode(roots).alias("cluster_id", "distance"))
 
 
 def assign(points: DataFrame, centroids: Matrix) -> DataFrame:
     """points plus cluster_id: the nearest centroid, the lowest id on a tie. A projection; works on streams too."""
-    return points.withColumn("_ds", centroid_distances(F.col("features"), centroids)).withColumn("cluster_id", nearest(F.col("_ds"))).drop("_ds")
+    return require_dimension(points, len(centroids[0])).withColumn("_ds", centroid_distances(F.col("features"), centroids)).withColumn("cluster_id", nearest(F.col("_ds"))).drop("_ds")
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -115,36 +126,67 @@ def icd_frame(spark: SparkSession, centroids: Matrix) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, icd double")
 
 
+def _pruned(x: np.ndarray, old: np.ndarray, centroids: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster, compared) of points with old labels. A centroid i with between[old][i] > 2 d, d being the distance to the
+    old one, can't be nearer, and its distance isn't evaluated. A tie goes to the old label, then to the lowest id."""
+    old_d = np.zeros(len(x))
+    for j in range(centroids.shape[1]):
+        old_d += (x[:, j] - centroids[old, j]) ** 2
+    old_d = np.sqrt(old_d)
+    near = between[old] <= 2 * old_d[:, None]
+    near[np.arange(len(x)), old] = False
+    best, label = old_d.copy(), old.copy()
+    for i in range(len(centroids)):
+        rows = np.flatnonzero(near[:, i])
+        d = np.sqrt(squared(x[rows], centroids[i : i + 1])[:, 0])
+        closer = rows[d < best[rows]]
+        best[closer], label[closer] = d[d < best[rows]], i
+    return label, near.sum(axis=1) + 1
+
+
+def _compared(features: Column, old_label: Column | None, before: Matrix | None, centroids: Matrix) -> Column:
+    """struct<cluster_id, compared>; old labels are given, or those against the centroids before."""
+    now, gaps = np.asarray(centroids, dtype=np.float64), np.asarray(icd(centroids))
+    then = None if before is None else np.asarray(before, dtype=np.float64)
+
+    def made(x: np.ndarray, old: np.ndarray) -> pa.Array:
+        label, compared = _pruned(x, old, now, gaps)
+        return pa.StructArray.from_arrays([pa.array(label.astype(np.int32)), pa.array(compared.astype(np.int32))], names=["cluster_id", "compared"])
+
+    kind = "struct<cluster_id:int,compared:int>"
+    if old_label is None:
+
+        @F.arrow_udf(kind)
+        def from_before(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                x = matrix_of(batch, now.shape[1])
+                yield made(x, np.zeros(len(x), np.int64) if then is None else squared(x, then).argmin(axis=1))
+
+        return from_before(features)
+
+    @F.arrow_udf(kind)
+    def from_label(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch, old in batches:
+            yield made(matrix_of(batch, now.shape[1]), old.to_numpy(zero_copy_only=False).astype(np.int64))
+
+    return from_label(features, old_label)
+
+
 def assign_pruned(labelled: DataFrame, centroids: Matrix) -> DataFrame:
-    """labelled (id, features, old_label) plus cluster_id, compared and skipped.
-
-    A centroid i farther than twice the distance to the old one, ICD[old][i] > 2 d, can't be nearer, and its
-    distance isn't evaluated. A tie goes to the old label, then to the lowest id."""
-    old_d = None
-    for i, c in enumerate(centroids):
-        branch = F.sqrt(sq_dist_lazy(F.col("features"), c))
-        old_d = F.when(F.col("old_label") == i, branch) if old_d is None else old_d.when(F.col("old_label") == i, branch)
-    known = labelled.withColumn("_old_d", old_d)
-    between = icd(centroids)
-    rows = F.array(*[F.array(*[F.lit(v) for v in r]) for r in between])
-    cells = []
-    for i, c in enumerate(centroids):
-        near = rows[F.col("old_label")][i] <= 2 * F.col("_old_d")
-        cells.append(F.when((F.col("old_label") != i) & near, F.sqrt(sq_dist_lazy(F.col("features"), c))))
-    tried = known.withColumn("_ds", F.array(*cells))
-    best = F.array_min("_ds")  # skips nulls: what was pruned
-    moved = best < F.col("_old_d")
-    compared = F.size(F.filter("_ds", lambda x: x.isNotNull()))
-    return tried.select(
-        "id", "features",
-        F.when(moved, F.array_position("_ds", best) - 1).otherwise(F.col("old_label")).cast("int").alias("cluster_id"),
-        (compared + 1).alias("compared"), (F.lit(len(centroids) - 1) - compared).alias("skipped"),
-    )
+    """labelled (id, features, old_label) plus cluster_id, compared and skipped."""
+    judged = require_dimension(labelled, len(centroids[0])).withColumn("_c", _compared(F.col("features"), F.col("old_label"), None, centroids))
+    return judged.select("id", "features", "_c.cluster_id", "_c.compared", (F.lit(len(centroids)) - F.col("_c.compared")).alias("skipped"))
+
+
+def _relabelled(points: DataFrame, before: Matrix | None, centroids: Matrix) -> DataFrame:
+    """points (id, features) plus cluster_id; the old labels are those against the centroids before, or 0, in the same pass."""
+    judged = require_dimension(points, len(centroids[0])).withColumn("_c", _compared(F.col("features"), None, before, centroids))
+    return judged.select("id", "features", "_c.cluster_id")
 
 
 def fit_pruned(points: DataFrame, centroids: Sequence[Sequence[float]], max_iters: int, tol: float = MAX_ERR) -> tuple[Fit, DataFrame]:
     """fit() by pruned assignment. Old labels aren't carried from step to step as state: they are those
-    against the centroids before, a projection of the same scan, so the lineage doesn't grow."""
+    against the centroids before, made in the same pass, so the lineage doesn't grow."""
     if max_iters < 1:
         raise ValueError("max_iters must be at least 1")
     current = [list(map(float, c)) for c in centroids]
@@ -152,14 +194,14 @@ def fit_pruned(points: DataFrame, centroids: Sequence[Sequence[float]], max_iter
     before: Matrix | None = None
     try:
         for done in range(1, max_iters + 1):
-            new = _means(_sums(assign_pruned(with_old(cached, before), current), len(current[0])), current)
+            new = _means(_sums(_relabelled(cached, before, current), len(current[0])), current)
             moved = shift(current, new)
             older, before, current = before, current, new
             if moved < tol:
                 break
     finally:
         cached.unpersist()
-    return Fit(before, current, done, moved), assign_pruned(with_old(points, older), before)
+    return Fit(before, current, done, moved), _relabelled(points, older, before)
 
 
 def with_old(points: DataFrame, before: Matrix | None) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import kmeans, knn, metrics
-from ..session import spread
+from ..session import fresh_path, spread
+from ..sources import datagen, textio
 
 TARGET, K, CLUSTERS, ITERS, PART_CLUSTERS = 0, 5, 10, 5, 4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +163,126 @@ def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.labels(points).withColumnRenamed("id", "p_partkey")
 
 
+def batch_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all others."""
+    points = embeddings(spark, sf_dir)
+    found = knn.neighbors_of_many(points, points.filter(F.col("id") % 100 == 0), K, exclude_self=True)
+    return _vec(found)
+
+
+# --- files: each query writes one, reads it back and shows what it read -----------------------------------
+
+
+def _part_file(spark: SparkSession, sf_dir: str, layout: str) -> textio.KMeansInput:
+    points, path = parts(spark, sf_dir), fresh_path(spark, f"text-{layout}")
+    start = kmeans.init_strided(points, PART_CLUSTERS)
+    if layout == "F3":
+        textio.write_f3(spark, path, points, PART_CLUSTERS, ITERS)
+    else:
+        {"F1": textio.write_f1, "F2": textio.write_f2}[layout](spark, path, points, start, ITERS)
+    return textio.read_kmeans(spark, path, layout)
+
+
+def file_points(layout: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = _part_file(spark, sf_dir, layout).points
+        return read.select("id", F.round(F.col("features")[0], 6).alias("x"), F.round(F.col("features")[1], 6).alias("y"))
+
+    return run
+
+
+def file_centroids(layout: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = _part_file(spark, sf_dir, layout)
+        cells = _rounded(kmeans.centroid_frame(spark, read.centroids), "value")
+        return cells.withColumns({"n": F.lit(read.n), "d": F.lit(read.d), "k": F.lit(read.k), "max_iters": F.lit(read.max_iters)})
+
+    return run
+
+
+def _knn_file(spark: SparkSession, sf_dir: str, words: bool) -> textio.KnnInput:
+    rest, target = _target(embeddings(spark, sf_dir))
+    path = fresh_path(spark, "text-F5")
+    labelled = rest.withColumn("label", F.concat(F.lit("class-"), F.col("label").cast("string"))) if words else rest
+    textio.write_f5(spark, path, K, target, labelled)
+    return textio.read_knn(spark, path, "string" if words else "int")
+
+
+def knn_file_rows(words: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        read = _knn_file(spark, sf_dir, words)
+        d = F.round(F.sqrt(knn.sq_dist(F.col("features"), read.target)), 6)
+        return read.points.select("id", "label", d.alias("distance"), F.lit(read.k).alias("k"), F.lit(read.n).alias("n"), F.lit(read.d).alias("d"))
+
+    return run
+
+
+def _fit_file(spark: SparkSession, sf_dir: str) -> str:
+    points, path = parts(spark, sf_dir), fresh_path(spark, "text-F4")
+    start = kmeans.init_strided(points, PART_CLUSTERS)
+    textio.write_f4(spark, path, start, kmeans.assign(points, start).select("id", "cluster_id"))
+    return path
+
+
+def fit_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textio.lines(spark, _fit_file(spark, sf_dir)).withColumnRenamed("value", "line")
+
+
+def fit_file_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(kmeans.centroid_frame(spark, textio.read_centroids(spark, _fit_file(spark, sf_dir), PART_CLUSTERS)), "value")
+
+
+def fit_file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textio.read_labels(spark, _fit_file(spark, sf_dir), PART_CLUSTERS)
+
+
+def neighbor_file_lines(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rest, target = _target(embeddings(spark, sf_dir))
+        near, path = knn.neighbors(rest, target, K), fresh_path(spark, f"text-{kind}")
+        if kind == "F6":
+            textio.write_f6(path, near, rest, knn.vote(near))
+        elif kind == "F7":
+            textio.write_f7(path, knn.result_line(near))
+        else:
+            textio.write_coordinates(path, near, rest)
+        return textio.lines(spark, path).withColumnRenamed("value", "line")
+
+    return run
+
+
+def missing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(error): the condition under which a file that isn't there fails."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        textio.read_knn(spark, fresh_path(spark, "missing"))
+    except AnalysisException as error:
+        return spark.createDataFrame([(error.getCondition(),)], "error string")
+    raise AssertionError("a missing file was read")
+
+
+def generated_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: sizes of a generated F1 file, whether all its numbers are in range, how many distinct points are centroids."""
+    path = fresh_path(spark, "text-generated")
+    datagen.kmeans_file(spark, path, 1000, 3, 4, 50, seed=7)
+    read = textio.read_kmeans(spark, path, "F1")
+    inside = F.forall("features", lambda x: (x >= -1000) & (x < 1000) & (x.cast("float").cast("double") == x))
+    central = F.count_distinct(F.when(F.col("features").isin([F.array(*map(F.lit, c)) for c in read.centroids]), F.col("features")))
+    facts = read.points.agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside & (F.size("features") == read.d)).alias("in_range"), central.alias("central_points"))
+    return facts.withColumns({"k": F.lit(read.k), "d": F.lit(read.d), "max_iters": F.lit(read.max_iters)})
+
+
+def generated_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: sizes of a generated F5 file, whether all its numbers are in range, and its labels."""
+    path = fresh_path(spark, "text-generated")
+    datagen.knn_file(spark, path, 1000, 2, 5, 3, seed=7)
+    read = textio.read_knn(spark, path)
+    inside = F.forall("features", lambda x: (x >= 0) & (x < 1))
+    facts = read.points.agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"), F.array_join(F.array_sort(F.collect_set("label")), " ").alias("labels"))
+    return facts.withColumns({"k": F.lit(read.k), "d": F.lit(len(read.target)), "target_in_range": F.lit(all(0 <= x < 1 for x in read.target))})
+
+
 def queries() -> dict[str, Query]:
     return {
         "dist_sq_to_target": distance_query(True), "dist_to_target": distance_query(False),
@@ -174,7 +295,13 @@ def queries() -> dict[str, Query]:
         "kmeans_labels": labels, "kmeans_centroids": centroids,
         "kmeans_assign_pruned": assign_pruned, "kmeans_prune_stats": prune_stats,
         "label_agreement": agreement, "points_transpose": points_transpose,
-        "part_knn_neighbors": part_neighbors, "part_kmeans_labels": part_labels,
+        "part_knn_neighbors": part_neighbors, "part_kmeans_labels": part_labels, "knn_batch": batch_neighbors,
+        "read_f1_points": file_points("F1"), "read_f2_points": file_points("F2"), "read_f3_points": file_points("F3"),
+        "read_f1_centroids": file_centroids("F1"), "read_f2_centroids": file_centroids("F2"), "read_f3_centroids": file_centroids("F3"),
+        "read_f5_points": knn_file_rows(False), "read_f5_class_words": knn_file_rows(True),
+        "write_f4_lines": fit_file_lines, "read_f4_centroids": fit_file_centroids, "read_f4_labels": fit_file_labels,
+        "write_f6_lines": neighbor_file_lines("F6"), "write_f7_lines": neighbor_file_lines("F7"), "write_coordinates_lines": neighbor_file_lines("co"),
+        "read_missing_file": missing_file, "generated_kmeans_file": generated_kmeans, "generated_knn_file": generated_knn,
     }
 
 
@@ -220,7 +347,25 @@ def oracle_sql() -> dict[str, str]:
         "SELECT sum(compared)::BIGINT AS compared, sum(every - compared)::BIGINT AS skipped FROM n"
     )
     first = "(SELECT min(p_partkey) FROM part)"
-    return {
+    part_one = _lloyd(_PART, PART_CLUSTERS, 1)
+    points = "WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size::DOUBLE AS x, p_retailprice AS y FROM part) SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p"
+    heads = f"WITH {part_one} SELECT *, (SELECT count(*)::INT FROM p) AS n, 2 AS d, {PART_CLUSTERS} AS k, {ITERS} AS max_iters FROM ({_cells('c0')})"
+    coords = "array_to_string(list_transform(v, lambda x: printf('%.10f ', x)), '')"
+    near = f"WITH {_top()}, m AS (SELECT r.rank, r.label, {coords} AS c FROM r JOIN p USING (id))"
+    f5 = f"WITH {_near()} SELECT row_number() OVER (ORDER BY id) - 1 AS id, {{label}} AS label, round(sqrt(d), 6) AS distance, {K} AS k, (SELECT count(*)::INT FROM q) AS n, (SELECT len(v)::INT FROM p LIMIT 1) AS d FROM q"
+    files = {"F1": "read_f1", "F2": "read_f2", "F3": "read_f3"}
+    return {f"{name}_points": points for name in files.values()} | {f"{name}_centroids": heads for name in files.values()} | {
+        "knn_batch": f"WITH {_PTS} SELECT a.id AS query_id, (row_number() OVER (PARTITION BY a.id ORDER BY {between}, b.id))::INT AS rank, b.id AS vec_id, round(sqrt({between}), 6) AS distance FROM p a, p b WHERE a.id % 100 = 0 AND a.id <> b.id QUALIFY rank <= {K}",
+        "read_f5_points": f5.format(label="label"), "read_f5_class_words": f5.format(label="'class-' || label"),
+        "write_f4_lines": f"WITH {part_one} SELECT j::BIGINT AS line_no, array_to_string(list_transform(v, lambda x: printf('%.6f ', x)), '') AS line FROM c0 UNION ALL SELECT row_number() OVER (ORDER BY id) - 1 + {PART_CLUSTERS}, j::VARCHAR FROM l1",
+        "read_f4_centroids": f"WITH {part_one} {_cells('c0')}",
+        "read_f4_labels": f"WITH {part_one} SELECT row_number() OVER (ORDER BY id) - 1 AS id, j AS cluster_id FROM l1",
+        "write_f6_lines": f"{near} SELECT rank - 1 AS line_no, c || 'label: ' || label AS line FROM m UNION ALL SELECT count(*), 'classifed class:' || (SELECT label FROM r GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) FROM m",
+        "write_f7_lines": f"WITH {_top()} SELECT 0::BIGINT AS line_no, (SELECT label FROM r GROUP BY label ORDER BY count(*) DESC, min(rank) LIMIT 1)::VARCHAR AS line UNION ALL SELECT 1, string_agg(id::VARCHAR, ' ' ORDER BY rank) FROM r",
+        "write_coordinates_lines": f"{near} SELECT rank - 1 AS line_no, c AS line FROM m",
+        "read_missing_file": "SELECT 'PATH_NOT_FOUND' AS error",
+        "generated_kmeans_file": "SELECT 1000::BIGINT AS n, true AS in_range, 4::BIGINT AS central_points, 4 AS k, 3 AS d, 50 AS max_iters",
+        "generated_knn_file": "SELECT 1000::BIGINT AS n, true AS in_range, '0 1 2' AS labels, 5 AS k, 2 AS d, true AS target_in_range",
         "dist_sq_to_target": f"WITH {_near()} SELECT id AS vec_id, round(d, 6) AS distance FROM q",
         "dist_to_target": f"WITH {_near()} SELECT id AS vec_id, round(sqrt(d), 6) AS distance FROM q",
         "knn_neighbors": f"WITH {_top()} SELECT rank::INT AS rank, id AS vec_id, label, round(sqrt(d), 6) AS distance FROM r",

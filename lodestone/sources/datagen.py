@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kmeans import plus_plus_init
+from . import textio
+
 _BITS = 52
 
 
@@ -23,3 +26,15 @@ def knn_points(spark: SparkSession, n: int = 10_000_000, d: int = 2, classes: in
     """(id, features, label): uniform in [0, 1) with uniform labels."""
     coords = [unit(seed, F.col("id"), F.lit(j)) for j in range(d)]
     return spark.range(n).select("id", F.array(*coords).alias("features"), F.floor(unit(seed, F.col("id"), F.lit(d)) * classes).cast("int").alias("label"))
+
+
+def kmeans_file(spark: SparkSession, path: str, n: int = 10_000, d: int = 2, k: int = 4, max_iters: int = 10_000, seed: int = 0) -> None:
+    """A runnable F1 input: kmeans_points, with centroids by k-means++."""
+    points = kmeans_points(spark, n, d, seed=seed)
+    textio.write_f1(spark, path, points, plus_plus_init(points, k, seed), max_iters)
+
+
+def knn_file(spark: SparkSession, path: str, n: int = 10_000_000, d: int = 2, k: int = 5, classes: int = 2, seed: int = 0) -> None:
+    """A runnable F5 input: knn_points, with a uniform target."""
+    target = spark.range(1).select(F.array(*[unit(seed, F.lit(-1), F.lit(j)) for j in range(d)]).alias("t")).first()["t"]
+    textio.write_f5(spark, path, k, list(target), knn_points(spark, n, d, classes, seed))

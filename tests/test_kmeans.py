@@ -78,6 +78,10 @@ def test_strided_start(spark):
     assert kmeans.init_strided(df, 3) == [[0.0], [3.0], [6.0]]
     with pytest.raises(ValueError, match="between 1"):
         kmeans.init_strided(df, 12)
+    repeated = spark.createDataFrame([(7, [float(i)]) for i in range(9)] + [(1, [50.0])] * 2, "id bigint, features array<double>").repartition(4)
+    got = kmeans.init_strided(repeated, 5)
+    assert len(got) == 5 and got[0] == [50.0] and len({v for (v,) in got[1:]}) == 4
+    assert got == kmeans.init_strided(repeated.repartition(2), 5)
 
 
 def test_plus_plus_is_seeded_and_stops_at_distinct_points(spark):

@@ -1,7 +1,7 @@
 import pytest
 
 from lodestone.functions import vectors
-from lodestone.operators import knn
+from lodestone.operators import kmeans, knn
 
 
 def points(spark, rows):
@@ -37,7 +37,7 @@ def test_vote_of_nobody(spark):
 
 def test_ranking_is_a_permutation(spark):
     df = points(spark, [(i, [float(i * 7 % 13), float(i % 3)], 0) for i in range(200)])
-    ranks = knn.full_ranking(df, [1.0, 1.0], buckets=5).toPandas().sort_values("rank")
+    ranks = knn.full_ranking(df.repartition(7), [1.0, 1.0]).toPandas().sort_values("rank")
     assert ranks["rank"].tolist() == list(range(1, 201))
     expected = sorted(range(200), key=lambda i: ((i * 7 % 13 - 1) ** 2 + (i % 3 - 1) ** 2, i))
     assert ranks["id"].tolist() == expected
@@ -64,3 +64,37 @@ def test_missing_target(spark):
 def test_topk_plans_without_a_full_sort(spark):
     plan = knn.neighbors(points(spark, TIED), [0.0, 0.0], 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_ranking_of_equal_points(spark):
+    """All distances equal: ranks go by id, in several partitions."""
+    df = points(spark, [(i, [1.0], 0) for i in range(500)]).repartition(5)
+    assert [(r["rank"], r["id"]) for r in knn.full_ranking(df, [0.0]).orderBy("rank").collect()] == [(i + 1, i) for i in range(500)]
+
+
+@pytest.mark.parametrize("broken", [None, [1.0], [1.0, 2.0, 3.0]])
+def test_a_point_without_its_vector_fails(spark, broken):
+    df = points(spark, [(1, [1.0, 1.0], 0), (2, broken, 0)])
+    for found in (knn.neighbors(df, [0.0, 0.0], 1), knn.distances(df, [0.0, 0.0]), knn.farthest(df, [0.0, 0.0], 1), kmeans.assign(df, [[0.0, 0.0]]), kmeans.distance_matrix(df, [[0.0, 0.0]] * 80)):
+        with pytest.raises(Exception, match="without 2 elements"):
+            found.collect()
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_many_queries(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(knn, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(4)), float(rng.randrange(4))], 0) for i in range(150)]  # many ties
+    df = points(spark, rows).repartition(6)
+    asked = df.filter("id % 30 = 0")
+    for alone in (True, False):
+        got = [(r["query_id"], r["rank"], r["id"], r["distance"]) for r in knn.neighbors_of_many(df, asked, 7, alone).orderBy("query_id", "rank").collect()]
+        expected = []
+        for q, t, _ in rows[::30]:
+            best = sorted((sum((a - b) ** 2 for a, b in zip(t, v)), i) for i, v, _ in rows if not (alone and i == q))[:7]
+            expected += [(q, rank, i, d**0.5) for rank, (d, i) in enumerate(best, 1)]
+        assert got == expected
+    assert knn.neighbors_of_many(df, df.limit(0), 3).count() == 0
+    assert knn.neighbors_of_many(df.filter("id < 3"), asked, 9).filter("query_id = 30").count() == 3

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,38 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Where that is unset
-    (tests on one machine), a temporary folder is set for the session."""
-    found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR, None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing lazy depends on any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+from ..session import discard, fresh_path, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +30,9 @@ def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str, limit: int = BROAD
     return df.join(broadcast(wanted) if ids.count() <= limit else wanted, key, how)
 
 
-#: Rows in an Arrow batch at most: bounds what a task holds of texts at once, on either side.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes in an Arrow batch at most: they bound what a task holds of texts at once, on either side.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _give_back() -> None:
@@ -77,12 +44,17 @@ def _give_back() -> None:
 
 
 def map_arrow(df: DataFrame, batches: Callable, schema: str) -> DataFrame:
-    """mapInArrow in batches of BATCH_ROWS whose workers find this package: beside the path that executors have of
-    their own (--py-files on a cluster), they look where the driver has it."""
+    """mapInArrow in batches of BATCH_ROWS and BATCH_BYTES whose workers find this package: beside the path that
+    executors have of their own (--py-files on a cluster), they look where the driver has it.
+
+    Spark has these bounds and that path for a session alone, so larger bounds of the session are lowered, for good."""
     spark = df.sparkSession
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    most = spark.conf.get(_BYTES).rstrip("b")
+    if not most.isdigit() or not 0 < int(most) <= BATCH_BYTES:  # or with a unit
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
 
     def task(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

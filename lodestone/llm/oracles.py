@@ -13,12 +13,11 @@ def quality_sql(docs: str = "documents") -> str:
     """A WITH clause body that ends in ``judged``: the columns of docs plus counts, base_failed and kept."""
     count = lambda cls: f"length(regexp_replace(coalesce(text, ''), '[^{cls}]', '', 'g'))"
     div = lambda sql: sql.replace(" div ", " // ")
-    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {div(sql)} ELSE 0 END AS {k}" for k, (sql, _, _) in rules.RATES.items())
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {div(rules.bin_sql(k))} AS bin FROM rated WHERE NOT base_failed" for k in rules.RATES)
-    slack = "CASE rate " + " ".join(f"WHEN '{k}' THEN {up}" for k, (_, up, _) in rules.RATES.items()) + " END"
-    below = "CASE rate " + " ".join(f"WHEN '{k}' THEN {down}" for k, (_, _, down) in rules.RATES.items() if down is not None) + " END"
-    picks = ", ".join(f"max(hi) FILTER (WHERE rate = '{k}') AS hi_{k}, max(lo) FILTER (WHERE rate = '{k}') AS lo_{k}" for k in rules.RATES)
-    within = " AND ".join(f"{k} <= f.hi_{k}" + (f" AND {k} >= f.lo_{k}" if down is not None else "") for k, (_, _, down) in rules.RATES.items())
+    rates = ", ".join(f"CASE WHEN n_words > 0 THEN {div(sql)} ELSE 0 END AS {k}" for k, sql in rules.MEASURES.items())
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {div(rules.bin_sql(k))} AS bin FROM rated WHERE NOT base_failed" for k in rules.MEASURES)
+    spread = f"greatest(q75 - q25, CASE rate WHEN '{rules.LENGTH}' THEN q50 // {1 << (rules.HIGH_BITS - 1)} + 1 ELSE 0 END)"
+    picks = ", ".join(f"max(hi) FILTER (WHERE rate = '{k}') AS hi_{k}, max(lo) FILTER (WHERE rate = '{k}') AS lo_{k}" for k in rules.MEASURES)
+    within = " AND ".join(f"1000 * ({count} - {rules.ALLOWED}) <= f.hi_{k} * {base}" for k, (count, base) in rules.RATES.items()) + f" AND {rules.LENGTH} BETWEEN f.lo_{rules.LENGTH} AND f.hi_{rules.LENGTH}"
     return rf"""
 src AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM {docs}),
 spots AS MATERIALIZED (SELECT rid, i, array_to_string(w[i : i + {rules.WINDOW - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {rules.WINDOW - 2})) AS i FROM src WHERE len(w) >= {rules.WINDOW})),
@@ -33,7 +32,7 @@ cells AS MATERIALIZED (SELECT lang, source, rate, bin, count(*) AS n FROM ({cell
 levels AS (SELECT 0 AS level, lang, source, rate, bin, n FROM cells UNION ALL SELECT 1, lang, NULL, rate, bin, sum(n) FROM cells GROUP BY lang, rate, bin UNION ALL SELECT 2, NULL, NULL, rate, bin, sum(n) FROM cells GROUP BY rate, bin),
 runs AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, rate) AS docs FROM levels),
 quart AS (SELECT level, lang, source, rate, docs, min(bin) FILTER (WHERE 100 * seen >= 25 * docs) AS q25, min(bin) FILTER (WHERE 100 * seen >= 50 * docs) AS q50, min(bin) FILTER (WHERE 100 * seen >= 75 * docs) AS q75 FROM runs GROUP BY ALL),
-bounds AS (SELECT *, greatest(q75 + {rules.REACH} * (q75 - q25), q50 + {slack}) AS hi, least(q25 - {rules.REACH} * (q75 - q25), q50 - {below}) AS lo FROM quart),
+bounds AS (SELECT *, q75 + {rules.REACH} * {spread} AS hi, q25 - {rules.REACH} * {spread} AS lo FROM quart),
 fences AS MATERIALIZED (SELECT level, lang, source, max(docs) AS docs, {picks} FROM bounds GROUP BY level, lang, source),
 chosen AS MATERIALIZED (SELECT g.lang AS glang, g.source AS gsource, CASE WHEN g.docs >= {rules.MIN_DOCS} THEN g WHEN l.docs >= {rules.MIN_DOCS} THEN l ELSE a END AS f
   FROM (SELECT * FROM fences WHERE level = 0) g LEFT JOIN (SELECT * FROM fences WHERE level = 1) l ON g.lang IS NOT DISTINCT FROM l.lang, (SELECT * FROM fences WHERE level = 2) a),

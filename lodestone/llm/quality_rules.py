@@ -5,15 +5,15 @@
    (HIGH_BITS leading bits kept, so a quantile is off by less than 1 / 2**(HIGH_BITS - 1) of its value). Two
    sketches merge by adding counts, so the partial sums before the shuffle are the sketches of the tasks, a
    source's sketches add up to its language's, and a hot source costs one row per bin and task.
-3. Quantiles of a sketch give fences for its (language, source); a group of fewer than MIN_DOCS documents uses
-   its language's sketch, and a small language the whole corpus's.
-4. The fences are joined back and filter.
+3. Quantiles of a sketch give fences for its (language, source), REACH interquartile ranges beyond the quartiles; a
+   group of fewer than MIN_DOCS documents uses its language's sketch, and a small language the whole corpus's. No
+   fence has a constant of its own: where most documents of a group have none of something, its fence is 0.
+4. The fences are joined back and filter. ALLOWED occurrences beyond a fence are always chance, in a text of any
+   length: without that, a group in which a rate is always 0 would reject its first exception.
 
 Documents that fail the base rules don't enter the sketches. Defined results: null or empty text has no words
 and fails the base; null lang or source is a group of its own; repeated rows are judged alike; an empty table
-gives an empty result; clashing names in extra columns do no harm, as only the named columns are read.
-A fence is never tighter than SLACK, so that a group in which a rate is always 0 doesn't reject its first
-exception."""
+gives an empty result; clashing names in extra columns do no harm, as only the named columns are read."""
 
 from __future__ import annotations
 
@@ -35,17 +35,14 @@ MIN_DOCS = 100
 FENCES = 50_000
 HIGH_BITS = 6
 #: Interquartile ranges beyond the quartile at which a rate is out of the ordinary for its group.
-REACH = 3
-#: Rates: SQL over the counts, and the least distance of the upper and lower fence to the median. Integers throughout.
-RATES = {
-    "symbol_rate": ("1000 * n_symbols div word_chars", 40, None),
-    "upper_rate": ("1000 * n_upper div word_chars", 150, None),
-    "shout_rate": ("1000 * n_shout div n_words", 100, None),
-    "dup_line_rate": ("1000 * n_dup_lines div n_lines", 400, None),
-    "repeat_rate": ("1000 * n_repeat_words div n_words", 300, None),
-    "stutter_rate": ("1000 * n_stutter div n_words", 150, None),
-    "word_length": ("100 * word_chars div n_words", 250, 200),
-}
+REACH = 6
+#: Occurrences beyond a fence that are still chance.
+ALLOWED = 3
+#: Rates in thousandths: what occurs, and of what.
+RATES = {"symbol_rate": ("n_symbols", "word_chars"), "upper_rate": ("n_upper", "word_chars"), "shout_rate": ("n_shout", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "stutter_rate": ("n_stutter", "n_words")}
+#: A level, fenced on either side, in hundredths of characters.
+LENGTH = "word_length"
+MEASURES = {k: f"1000 * {count} div {base}" for k, (count, base) in RATES.items()} | {LENGTH: "100 * word_chars div n_words"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shout", "n_stutter")
 #: Characters counted as symbols, and as shouting.
 SYMBOLS, SHOUT = b"#*$%&|<>", b"!"
@@ -117,13 +114,13 @@ def bin_sql(value: str) -> str:
 
 def with_rates(counts: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rates = {k: F.when(F.col("n_words") > 0, F.expr(sql)).otherwise(F.lit(0)).cast("bigint") for k, (sql, _, _) in RATES.items()}
+    rates = {k: F.when(F.col("n_words") > 0, F.expr(sql)).otherwise(F.lit(0)).cast("bigint") for k, sql in MEASURES.items()}
     return counts.withColumn("base_failed", failed).withColumns(rates)
 
 
 def sketches(rated: DataFrame) -> DataFrame:
     """(lang, source, rate, bin, n): a mergeable sketch of each rate in each group."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), F.expr(bin_sql(k)).cast("bigint").alias("bin")) for k in RATES])
+    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), F.expr(bin_sql(k)).cast("bigint").alias("bin")) for k in MEASURES])
     cells = rated.filter(~F.col("base_failed")).select("lang", "source", F.inline(pairs))
     return cells.groupBy("lang", "source", "rate", "bin").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,17 +143,18 @@ def fences(levels: DataFrame) -> DataFrame:
         return F.aggregate("bins", zero, step)["at"]
 
     q = groups.select("level", "lang", "source", "rate", "docs", quantile(25).alias("q25"), quantile(50).alias("q50"), quantile(75).alias("q75"))
-    slack = F.expr("CASE rate " + " ".join(f"WHEN '{k}' THEN {up}" for k, (_, up, _) in RATES.items()) + " END")
-    below = F.expr("CASE rate " + " ".join(f"WHEN '{k}' THEN {down}" for k, (_, _, down) in RATES.items() if down is not None) + " END")
-    iqr = REACH * (F.col("q75") - F.col("q25"))
-    q = q.withColumn("hi", F.greatest(F.col("q75") + iqr, F.col("q50") + slack)).withColumn("lo", F.least(F.col("q25") - iqr, F.col("q50") - below))
-    picks = [F.max(F.when(F.col("rate") == k, F.col(e))).alias(f"{e}_{k}") for k in RATES for e in ("hi", "lo")]
+    # a level's spread is at least what its sketch resolves
+    least = F.when(F.col("rate") == LENGTH, F.expr(f"q50 div {1 << (HIGH_BITS - 1)} + 1")).otherwise(F.lit(0))
+    reach = REACH * F.greatest(F.col("q75") - F.col("q25"), least)
+    q = q.withColumn("hi", F.col("q75") + reach).withColumn("lo", F.col("q25") - reach)
+    picks = [F.max(F.when(F.col("rate") == k, F.col("hi"))).alias(f"hi_{k}") for k in MEASURES]
+    picks.append(F.max(F.when(F.col("rate") == LENGTH, F.col("lo"))).alias(f"lo_{LENGTH}"))
     return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *picks)
 
 
 def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
     """rated plus kept: within the fences of the smallest level with enough documents."""
-    limits = [f"{e}_{k}" for k in RATES for e in ("hi", "lo")]
+    limits = [*(f"hi_{k}" for k in MEASURES), f"lo_{LENGTH}"]
     packed = levels.select("level", "lang", "source", F.struct("docs", *limits).alias("f"))
     group, lang, whole = (packed.filter(F.col("level") == i).drop("level") for i in range(3))
     lang, whole = lang.drop("source").withColumnRenamed("f", "f1"), whole.drop("lang", "source").withColumnRenamed("f", "f2")
@@ -169,10 +167,9 @@ def judge(rated: DataFrame, levels: DataFrame) -> DataFrame:
         chosen = F.broadcast(chosen)
     joined = rated.join(chosen, rated["lang"].eqNullSafe(chosen["_lang"]) & rated["source"].eqNullSafe(chosen["_source"]), "left")
     within = ~F.col("base_failed")
-    for k, (_, _, down) in RATES.items():
-        within &= F.col(k) <= F.col(f"f.hi_{k}")
-        if down is not None:
-            within &= F.col(k) >= F.col(f"f.lo_{k}")
+    for k, (count, base) in RATES.items():
+        within &= 1000 * (F.col(count) - ALLOWED) <= F.col(f"f.hi_{k}") * F.col(base)
+    within &= F.col(LENGTH).between(F.col(f"f.lo_{LENGTH}"), F.col(f"f.hi_{LENGTH}"))
     return joined.withColumn("kept", F.coalesce(within, F.lit(False))).drop("_lang", "_source", "f")
 
 

@@ -22,3 +22,8 @@ def open_write(uri: str) -> NativeFile:
 def open_read(uri: str) -> NativeFile:
     system, path = _at(uri)
     return system.open_input_stream(path)
+
+
+def open_seekable(uri: str) -> NativeFile:
+    system, path = _at(uri)
+    return system.open_input_file(path)

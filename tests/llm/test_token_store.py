@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 
@@ -42,11 +43,11 @@ def test_many_shards_and_odd_rows(spark, odd, empty):
 
 @pytest.mark.parametrize("top", [1, 2, 3, 300, 70_000])
 def test_matrix_equals_the_list(monkeypatch, top):
-    monkeypatch.setattr(token_store, "SEGMENT", 1000)
+    monkeypatch.setattr(token_store, "CHUNK", 1024)
     rng = random.Random(top)
     ids = np.array([int(rng.random() ** 2 * top) for _ in range(2500)], np.uint32)
-    docs, ends, shard = token_store.load(token_store.dump([7, None, 9], np.array([10, 1500, 2500]), ids))
-    assert docs == [7, None, 9] and ends.tolist() == [10, 1500, 2500] and len(shard.segments) == 3
+    shard = token_store.Shard(io.BytesIO(token_store.dump([7, None, 9], np.array([10, 1500, 2500]), ids)))
+    assert shard.docs == [7, None, 9] and shard.ends.tolist() == [10, 1500, 2500]
     assert (shard.decode() == ids).all()
     for _ in range(100):
         i = rng.randrange(len(ids))
@@ -58,9 +59,46 @@ def test_matrix_equals_the_list(monkeypatch, top):
         assert shard.count(token, lo, hi) == int((ids[lo:hi] == token).sum())
         assert shard.locate(token, j) == places[j]
         assert shard.locate(token, len(places)) is None
+        assert (shard.places(token) == places).all()
     assert shard.count(top + 5) == 0 and shard.locate(top + 5, 0) is None
 
 
 def test_broken_files_are_refused():
     with pytest.raises(ValueError, match="not a wavelet"):
-        token_store.load(b"something else entirely")
+        token_store.Shard(io.BytesIO(b"something else entirely"))
+
+
+def test_lookups_read_what_they_need(monkeypatch):
+    """Counts of the whole shard read no planes; rank counts are in the file."""
+    monkeypatch.setattr(token_store, "CHUNK", 8192)
+    ids = np.random.default_rng(2).integers(0, 500, 400_000).astype(np.uint32)
+    raw = token_store.dump([1], np.array([len(ids)]), ids)
+    open_shard = lambda: token_store.Shard(io.BytesIO(raw))
+    monkeypatch.setattr(token_store, "ranks", None)  # nothing is counted anew
+    shard = open_shard()
+    assert shard.access(54_321) == ids[54_321]
+    assert shard.bytes_read < len(raw) / 4
+    shard = open_shard()
+    assert shard.count(77) == int((ids == 77).sum())
+    assert shard.bytes_read < len(raw) / 20
+    shard = open_shard()
+    assert shard.count(77, 12_000, 13_000) == int((ids[12_000:13_000] == 77).sum())
+    assert shard.bytes_read < len(raw) / 4
+    shard = open_shard()
+    assert shard.locate(77, 100) == np.flatnonzero(ids == 77)[100]
+    assert shard.bytes_read < len(raw) / 4
+
+
+def test_lookup_over_shards_equals_a_scan(spark, odd):
+    known = odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    manifest = token_store.write(known, FILE, "word", 1, shard_tokens=5000)
+    whole, at, places = Tokenizer.from_file(FILE), 0, {}
+    for r in sorted(known.collect(), key=lambda r: r["doc_id"]):
+        ids = [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for j, t in enumerate(ids):
+            places.setdefault(t, []).append((r["doc_id"], at, j))
+        at += len(ids)
+    asked = [1, *sorted(places, key=lambda t: -len(places[t]))[:3], *sorted(places)[-3:], 48_999, 10**6]
+    assert {r["token"]: r["n"] for r in token_store.count(manifest, asked).collect()} == {t: len(places.get(t, [])) for t in asked}
+    for t in asked:
+        assert sorted(map(tuple, token_store.locate(manifest, t).collect())) == places.get(t, [])

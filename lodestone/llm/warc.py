@@ -3,8 +3,8 @@
 Digests are headers: (page_id, url, bytes, digest) of every page, without its payload. They are grouped by digest,
 minima first within the tasks, so a payload that a third of all pages share costs one row a task (the join back can
 be split at it); the page of the
-least page_id is the response, others of at least MIN_BYTES revisit it. The resolution is joined back to the pages
-by page_id and digest, and each task writes its records into archives of its own with fresh headers: WARC/1.1, one gzip
+least page_id is the response, others of at least MIN_BYTES revisit it. The repeated digests are joined back to the
+pages, and each task writes its records into archives of its own with fresh headers: WARC/1.1, one gzip
 member a record, files of about FILE_BYTES. A manifest lists the files of the attempts that counted.
 
 Reading goes through the files of the manifest, a member at a time. A revisit record has no payload; its digest is in
@@ -29,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, fresh_path, map_arrow, utf8_views, written
+from .common import by_ids, discard, fresh_path, map_arrow, utf8_views, written
 from .files import open_read, open_write
 
 MIN_BYTES = 100
 FILE_BYTES = 64 << 20
 LEVEL = 1
-#: Repeated payloads (a digest of 64 characters each) up to which their digests are broadcast.
-DIGESTS = 200_000
+#: Repeated payloads (some 150 bytes each in Spark's table) up to which their digests are broadcast. Beyond it, payloads
+#: are shuffled once, by digest, in a join that adaptive execution splits where very many pages share one.
+DIGESTS = 300_000
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -54,11 +55,10 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, refers_to): the revisits alone, by the least page_id of each digest."""
+    """(id, refers_to), a written table: the repeated digests, with the least page_id of each."""
     large = heads.filter(F.col("payload_bytes") >= MIN_BYTES)
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select(F.col("payload_digest").alias("id"), "refers_to"), "responses")
-    return by_ids(large, "payload_digest", first, "inner", DIGESTS).filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    return written(first.select(F.col("payload_digest").alias("id"), "refers_to"), "responses")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -91,9 +91,12 @@ def write(pages: DataFrame) -> DataFrame:
     """Writes the archives; the manifest (path, records), a written table."""
     folder = fresh_path(pages.sparkSession, "warc")
     date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    revisits = written(resolve(written(headers(pages), "headers")), "revisits")
+    heads = written(headers(pages), "headers")
+    first = resolve(heads)
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    joined = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", digest.alias("payload_digest")).join(revisits, ["page_id", "payload_digest"], "left")
+    keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", digest.alias("payload_digest"))
+    target = F.when(F.col("page_id") != F.col("refers_to"), F.col("refers_to")).alias("refers_to")
+    joined = by_ids(keyed, "payload_digest", first, "left", DIGESTS).select("page_id", "url", "html", "payload_digest", target)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
@@ -119,7 +122,9 @@ def write(pages: DataFrame) -> DataFrame:
         if out is not None:
             yield closed()
 
-    return written(map_arrow(joined, batches, "path string, records bigint"), "warc-manifest")
+    manifest = written(map_arrow(joined, batches, "path string, records bigint"), "warc-manifest")
+    discard(heads, first)
+    return manifest
 
 
 def members(source, chunk: int = 1 << 20) -> Iterator[bytes]:

@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from lodestone.llm import quality_classifier as qda
@@ -51,3 +56,44 @@ def test_odd_rows_and_missing_labels(spark, odd, empty):
     rows = qda.score(featured, both).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert qda.score(qda.document_features(empty), both).count() == 0
+
+
+def plain_features(text):
+    """The documented statistics by regular expressions and sets."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + j for i, w in enumerate(windows) if w in often for j in range(8)}
+    n, chars, of_lines = max(len(words), 1), max(sum(map(len, words)), 1), max(len(lines), 1)
+    stutter = sum(a == b for a, b in zip(words, words[1:]))
+    rates = [sum(text.count(c) for c in "#*$%&|<>") / chars, sum("A" <= c <= "Z" for c in text) / chars, (len(lines) - len(set(lines))) / of_lines, len(covered) / n, stutter / n]
+    marks = [sum(text.count(c) for c in marked.decode()) / n for marked in qda.MARKS.values()]
+    total = sum(map(len, words))
+    return [math.log1p(len(words)), math.log1p(total), math.log1p(total / n), *map(math.sqrt, rates), math.log1p(len(words) / of_lines), *map(math.sqrt, marks)]
+
+
+def test_query_equals_brute_force(spark):
+    """Features, shrinkage and posterior of the whole query, from the tables alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    apart = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs}
+    x = {r["doc_id"]: np.array(plain_features(r["text"] or "")) for r in docs}
+    own = [np.array([x[i] for i in x if not apart[i] and quality.get(i) == c]) for c in (0, 1)]
+    n = [len(o) for o in own]
+    cov = [np.cov(o.T, bias=True) for o in own]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    unit = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    log = []
+    for c in (0, 1):
+        mixed = (0.8 * cov[c] + 0.2 * pooled) / np.outer(unit, unit)
+        shrunk = 0.98 * mixed + (0.02 * np.trace(mixed) / len(mixed) + 1e-9) * np.eye(len(mixed))
+        z = (np.array(list(x.values())) - own[c].mean(axis=0)) / unit
+        log.append(-0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(shrunk), z) - 0.5 * np.linalg.slogdet(shrunk)[1] + math.log(n[c]))
+    expected = dict(zip(x, 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))), strict=True))
+    got = {r["doc_id"]: r for r in op9_quality_classifier(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, r in got.items():
+        assert r["held_out"] == apart[i]
+        assert abs(r["score"] - expected[i]) < 1e-6
+        assert r["predicted"] == (r["score"] >= 0.7)

@@ -35,7 +35,9 @@ ROWS = [
 ]
 
 
-def test_cases_and_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("digests", [0, 1000])
+def test_cases_and_round_trip(spark, monkeypatch, digests):
+    monkeypatch.setattr(warc, "DIGESTS", digests)
     pages = spark.createDataFrame(ROWS, PAGES).selectExpr("*", "1 AS payload", "2 AS refers_to", "'x' AS payload_digest").repartition(3)
     manifest = warc.write(pages)
     records = warc.read(manifest, with_payload=True)

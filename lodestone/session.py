@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,12 +50,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within are deleted at the end, but for lasting ones, which pass to the scope around it."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        discard(*held)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: evaluated once, and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    around = _scopes[:-1] if lasting else _scopes
+    if around:
+        around[-1].append(out)
     return out
 
 

@@ -56,6 +56,22 @@ def test_dimension_check(spark):
         vectors.require_dimension(df, 2).collect()
 
 
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from lodestone import session
+
+    there = lambda t: Path(t.written_path.removeprefix("file://")).exists()
+    with session.scratch():
+        outer = session.written(spark.range(2), "t")
+        with session.scratch():
+            inner, kept = session.written(spark.range(3), "t"), session.written(spark.range(4), "t", lasting=True)
+        assert not there(inner) and there(kept) and kept.count() == 4
+        last = session.written(spark.range(5), "t", lasting=True)
+    assert not there(outer) and not there(kept) and there(last)
+    session.discard(last)
+
+
 def test_missing_target(spark):
     with pytest.raises(LookupError):
         vectors.vector_of(points(spark, TIED), 99)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, discard, written
+from .common import by_ids, discard, scratch, written
 
 WINDOW, SHINGLE = 13, 3
 #: Rows of numbers (some 100 bytes each in Spark's table) up to which a table is broadcast.
@@ -139,12 +139,14 @@ def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs."""
     keyed = docs.select(key, *text_key(F.col("text")), words(F.col("text")).alias("w"))
-    hits = occurrences(keyed.drop(key), benchmark, window)
-    covered = hits.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
-    # distinct items of a document: at most as many as its words have windows
-    items = hits.groupBy("k1", "k2").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    listed = F.array_sort("items")
-    judged = written(covered.join(items, ["k1", "k2"]).select(F.struct("k1", "k2").alias("id"), "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256")), "judged")
+    with scratch():
+        hits = occurrences(keyed.drop(key), benchmark, window)
+        covered = hits.select("k1", "k2", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("word")).distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
+        # distinct items of a document: at most as many as its words have windows
+        items = hits.groupBy("k1", "k2").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+        listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")
+        both = covered.join(items, ["k1", "k2"]).select(F.struct("k1", "k2").alias("id"), "n_hit", F.size("items").alias("n_items"), listed)
+        judged = written(both, "judged", lasting=True)
     counted = keyed.select(key, F.struct("k1", "k2").alias("_text"), F.size("w").cast("bigint").alias("n_words"))
     joined = by_ids(counted, "_text", judged, "left", KEYS)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")

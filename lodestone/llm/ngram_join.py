@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, discard, map_arrow, utf8_views, written
+from .common import by_ids, discard, map_arrow, scratch, utf8_views, written
 from .components import components
 from .textkernel import LOWER, mix, ngrams, spans, word_hashes
 
@@ -365,18 +365,19 @@ def shared_ids(each: DataFrame, named: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text)."""
     docs = keyed(docs)
-    surveyed = written(survey(docs, n), "survey")
-    often, count = frequent(surveyed)
-    named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
-    every = surveyed.filter("is_doc").select("doc_id", "size", "digest")
-    told = every.filter("size > 0 AND doc_id IS NOT NULL")
-    found = links(named, texts_of(docs, surveyed), often, count, n, p, q)
-    rooted = components(found.unionByName(shared_ids(told.select("doc_id", "digest"), named)))
-    linked = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
-    least = linked.join(named.select(F.col("cid").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
-    of = linked.join(least, "root").select(F.col("node").alias("cid"), "component")
-    of = named.select("cid", "digest", "doc_id").join(of, "cid", "left").select(F.col("digest").alias("id"), F.coalesce("component", "doc_id").alias("component"))
-    joined = by_ids(every, "digest", written(of, "roots"), "left", 0)  # a row a class: always shuffled
-    discard(found, named)
+    with scratch():
+        surveyed = written(survey(docs, n), "survey", lasting=True)
+        often, count = frequent(surveyed)
+        named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
+        every = surveyed.filter("is_doc").select("doc_id", "size", "digest")
+        told = every.filter("size > 0 AND doc_id IS NOT NULL")
+        found = links(named, texts_of(docs, surveyed), often, count, n, p, q)
+        rooted = components(found.unionByName(shared_ids(told.select("doc_id", "digest"), named)))
+        linked = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+        least = linked.join(named.select(F.col("cid").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component"))
+        of = linked.join(least, "root").select(F.col("node").alias("cid"), "component")
+        of = named.select("cid", "digest", "doc_id").join(of, "cid", "left").select(F.col("digest").alias("id"), F.coalesce("component", "doc_id").alias("component"))
+        roots = written(of, "roots", lasting=True)
+    joined = by_ids(every, "digest", roots, "left", 0)  # a row a class: always shuffled
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))

@@ -84,10 +84,10 @@ def test_shuffled_joins_move_no_texts(spark, monkeypatch):
     moved = {}
     real = decontaminate.written
 
-    def written(df, name):
+    def written(df, name, **more):
         plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         moved[name] = {c.split("#")[0].strip() for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan) for c in found.split(",")}
-        return real(df, name)
+        return real(df, name, **more)
 
     monkeypatch.setattr(decontaminate, "written", written)
     docs = spark.createDataFrame(documents(), "doc_id bigint, text string")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_ids, discard, table, written
+from lodestone.llm.common import by_ids, discard, scratch, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates: words a shingle, and the similarity as a fraction.
@@ -116,7 +116,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():  # what the stage wrote on its way goes with it
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
         if last is not None:
             discard(last)
         last = docs

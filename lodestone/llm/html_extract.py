@@ -412,8 +412,9 @@ class Run(NamedTuple):
     lines: Outline
 
 
-def judged(runs: Iterable[Run]) -> Iterator[tuple[Run, list[int]]]:
-    """Each run with its deletions, by the nearest different runs of its host. Equal runs in a row are one."""
+def judged(runs: Iterable[Run | None]) -> Iterator[tuple[Run, list[int]] | None]:
+    """Each run with its deletions, by the nearest different runs of its host. Equal runs in a row are one. None passes
+    through, so that a caller can put away what piles up during a long run."""
 
     def told(held: list[Run], before: Run | None, after: Run | None) -> Iterator[tuple[Run, list[int]]]:
         if any(r.number is not None for r in held):
@@ -424,6 +425,9 @@ def judged(runs: Iterable[Run]) -> Iterator[tuple[Run, list[int]]]:
 
     before, held = None, []
     for run in runs:
+        if run is None:
+            yield None
+            continue
         if held and (run.host, run.lines.hashes) != (held[0].host, held[0].lines.hashes):
             yield from told(held, before, run)
             before, held = held[0], []
@@ -470,8 +474,9 @@ def _local(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends: list[Run] = []  # the first two runs and the last two
     state = {"run": -1, "last": None}
 
-    def runs() -> Iterator[Run]:
+    def runs() -> Iterator[Run | None]:
         for batch in stream:
+            yield None
             for row in batch.select(["k1", "k2", "host", "hashes", "words", "zones"]).to_pylist():
                 mark = (row["host"], row["hashes"])
                 if mark != state["last"]:
@@ -482,10 +487,10 @@ def _local(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append({"kind": _PAGE, "k1": row["k1"], "k2": row["k2"], "part": part, "run": state["run"]})
 
     # judged() is one run behind, and the last of a part comes when all rows are read
-    for run, gone in judged(runs()):
-        if gone and 0 < run.number[1] < state["run"]:
-            out.append({"kind": _GONE, "part": part, "run": run.number[1], "gone": gone})
-        if len(out) >= 4096:
+    for found in judged(runs()):
+        if found is not None and found[1] and 0 < found[0].number[1] < state["run"]:
+            out.append({"kind": _GONE, "part": part, "run": found[0].number[1], "gone": found[1]})
+        if len(out) >= 4096 or found is None:
             yield pa.RecordBatch.from_pylist(out, schema=_RUN_FIELDS)
             out.clear()
     for run in ends:

@@ -217,3 +217,23 @@ def test_neighbours_are_the_nearest_different_pages(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(got) == sorted(expected)
+
+
+def test_long_runs_of_equal_pages_are_put_away():
+    """What a part yields comes in pieces, however long a run of equal pages is; deletions of its ends wait for the edges."""
+    import pyarrow as pa
+
+    def batch(first, hashes):
+        rows = [{"k1": i, "k2": 0, "host": "h", "hashes": hashes, "words": [1] * len(hashes), "zones": [1] * len(hashes)} for i in range(first, first + 1000)]
+        return pa.RecordBatch.from_pylist(rows)
+
+    html_extract.TaskContext, kept = type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}), html_extract.TaskContext
+    try:
+        made = list(html_extract._local(iter([batch(0, [1, 2]), *(batch(1000 * i, [2, 3]) for i in range(1, 8)), batch(8000, [3, 4])])))
+    finally:
+        html_extract.TaskContext = kept
+    assert max(b.num_rows for b in made) <= 2100
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["run"] for r in rows if r["kind"] == html_extract._PAGE] == [0] * 1000 + [1] * 7000 + [2] * 1000
+    assert [(r["run"], r["gone"]) for r in rows if r["kind"] == html_extract._GONE] == [(1, [0, 1])]
+    assert [(r["run"], r["judged"]) for r in rows if r["kind"] == html_extract._EDGE] == [(0, True), (1, False), (2, True)]

@@ -128,10 +128,9 @@ def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         met = by_ids(texts.withColumn("key", F.struct("k1", "k2")), "key", may, "inner", KEYS).select("k1", "k2", "w", F.inline("places"))
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w"))
     alike = [F.when(fits, a).otherwise(F.lit(None)) == F.col(b) for a, b in zip(_window_hash(found), ("h1", "h2"), strict=True)]
-    hits = written(met.filter(fits & alike[0] & alike[1]).select("k1", "k2", "start", "size", "h1", "h2", found.alias("tokens")).distinct(), "hits")
-    scratch.append(hits)
+    hits = met.filter(fits & alike[0] & alike[1]).select("k1", "k2", "start", "size", "h1", "h2", found.alias("tokens"))
     same = wanted.drop("size").withColumnRenamed("tokens", "words")
-    named = written(hits.join(same, ["h1", "h2"]).filter("tokens = words").select("k1", "k2", "item_id", "start", "size"), "occurrences")
+    named = written(hits.join(same, ["h1", "h2"]).filter("tokens = words").select("k1", "k2", "item_id", "start", "size").distinct(), "occurrences")
     discard(*scratch)
     return named
 

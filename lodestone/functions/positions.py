@@ -1,4 +1,4 @@
-"""Places of rows without a global window: places in partitions plus the rows of all partitions before."""
+"""Places of rows without a global window: places in partitions or splits plus the rows of all before."""
 
 from __future__ import annotations
 
@@ -19,9 +19,15 @@ def _offset(marked: DataFrame, part: Column, at: Column, name: str) -> DataFrame
 
 
 def numbered(scan: DataFrame, name: str) -> DataFrame:
-    """scan plus the place of each row, from 0, in the order in which files are read. For frames straight from files,
-    whose partitions are the same each time."""
-    return _offset(scan, F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)), name)
+    """scan plus the place of each row, from 0: files go by path, rows as they stand in them. For frames straight from
+    files, whose partitions are the same each time. Spark deals out files and their splits by size, so rows are counted
+    by split and a partition's number says nothing; a split's rows follow each other in one partition."""
+    split = ["_path", "_start"]
+    marked = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_mark"))
+    counts = marked.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    offsets = counts.select(*split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return marked.join(F.broadcast(offsets), split).withColumn(name, F.col("_mark") + F.col("_shift")).drop(*split, "_mark", "_shift")
 
 
 def ranked(df: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:

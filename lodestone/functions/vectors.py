@@ -38,3 +38,16 @@ def transpose(df: DataFrame) -> DataFrame:
     cells = df.select("id", F.posexplode("features").alias("dim", "value"))
     ordered = F.array_sort(F.collect_list(F.struct("id", "value")))
     return cells.groupBy("dim").agg(F.transform(ordered, lambda c: c["value"]).alias("values"))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A double with this many decimals as C's printf writes it: the value itself is rounded, a tie to the even digit.
+    format_string would round the shortest digits that name the value, ties up. From 2^63 on, digits past the 17th are 0."""
+    shown = lambda v: F.call_function("format_number", v, F.lit("0." + "0" * places))
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = shown(size - whole)  # 0 or, rounded up, 1 and its decimals
+    apart = F.concat(F.when(x < 0, "-").otherwise(""), (whole + part.substr(1, 1).cast("bigint")).cast("string"), part.substr(2, places + 1))
+    # beyond that size the shortest digits may end before the last place
+    apart_from = 2.0**53 / 10 ** (places + 1)
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when((size >= apart_from) & (size < 2.0**63), apart).otherwise(shown(x))

@@ -146,7 +146,7 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = F.array_join(F.transform("values", lambda x: F.format_string("%.6f", x)), " ")
+    joined = F.array_join(F.transform("values", lambda x: vectors.fixed(x, 6)), " ")
     return vectors.transpose(embeddings(spark, sf_dir)).select("dim", joined.alias("values"))
 
 

@@ -169,10 +169,14 @@ def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count:
 
 
 def classes(prefixed: DataFrame) -> DataFrame:
-    """(cid, digest, doc_id, key, size, first, second, third), to be written at once, as cid numbers its rows: the row of
-    the least doc_id of each set. Copies meet in the partial minimum."""
-    least = prefixed.groupBy("digest").agg(F.min(F.struct("doc_id", "k1", "k2", "size", "first", "second", "third")).alias("r"))
-    return least.select(F.monotonically_increasing_id().alias("cid"), "digest", "r.doc_id", F.struct("r.k1", "r.k2").alias("key"), "r.size", "r.first", "r.second", "r.third")
+    """(cid, digest, doc_id, key, size, first, second, third): the row of the least doc_id of each set. Rows are written
+    where they are made, and cid numbers them; copies are found by digests and numbers alone, so no prefix is shuffled
+    for them unless they are very many."""
+    rows = written(prefixed.select(F.monotonically_increasing_id().alias("cid"), "digest", "doc_id", F.struct("k1", "k2").alias("key"), "size", "first", "second", "third"), "classes")
+    least = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "cid")).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = rows.select("cid", "digest").join(least.select("digest", F.col("r.cid").alias("least")), "digest").filter("cid <> least")
+    copies = written(copies.select(F.col("cid").alias("id")), "copies")
+    return rows if copies.isEmpty() else by_ids(rows, "cid", copies, "left_anti")
 
 
 def texts_of(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> CrowdStep
 
 def links(named: DataFrame, texts: DataFrame, often: np.ndarray, count: np.ndarray, n: int, p: int, q: int) -> DataFrame:
     """(u, v): links between classes from which all links' components follow, each of them verified or proven.
-    named: classes, a written table; texts: (key, text)."""
+    named: classes, a written table, less copies; texts: (key, text)."""
     posted = written(postings(named, often, count), "postings")
     couples = [written(pairs(posted.filter(F.col("crowd") <= CROWD), p, q), "pairs")]
     scratch, stars = [posted, *couples], []
@@ -368,7 +372,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -
     with scratch():
         surveyed = written(survey(docs, n), "survey", lasting=True)
         often, count = frequent(surveyed)
-        named = written(classes(prefixes(docs, n, p, q, often, count)), "classes")
+        named = classes(prefixes(docs, n, p, q, often, count))
         every = surveyed.filter("is_doc").select("doc_id", "size", "digest")
         told = every.filter("size > 0 AND doc_id IS NOT NULL")
         found = links(named, texts_of(docs, surveyed), often, count, n, p, q)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.llm import components, ngram_join, oracles
@@ -117,3 +118,12 @@ def test_runs_of_candidates(spark, monkeypatch, guests):
     monkeypatch.setattr(ngram_join, "GUESTS", guests)
     rows = [(i, t) for i, t in enumerate(family(6, 30, 100, 4) + family(7, 10, 60, 2))]
     assert found(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))) == by_brute_force(rows)
+
+
+def test_copies_are_found_without_moving_prefixes(spark):
+    docs = ngram_join.keyed(spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "e f g"), (None, "a b c d"), (4, "")], "doc_id bigint, text string"))
+    none = np.empty(0, np.uint64)
+    named = ngram_join.classes(ngram_join.prefixes(docs, 3, 90, 100, none, none.astype(np.int64)))
+    assert sorted((r["doc_id"], r["size"]) for r in named.collect()) == [(1, 2), (2, 1)]
+    plan = named.select("cid", "first", "second")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan

@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +55,10 @@ CENTRES = 4_000
 GUESTS = 512
 #: Row keys (some 100 bytes each in Spark's table) up to which they are broadcast.
 KEYS = 300_000
+#: Parts of the prefix tokens that are counted one after another: only one part's shuffle is on disk at a time.
+PARTS = 4
+#: Prefix tokens up to which the filters keep 16 bits of each, else 32: few strangers meet by chance among so few.
+NARROW = 128
 _SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -139,10 +144,25 @@ def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
+def narrowed(tokens: np.ndarray) -> bytes:
+    """The upper 16 bits of each of a few tokens, 32 of many, after a byte that says how many bytes each has. Equal
+    tokens stay equal, and that is all a filter needs."""
+    wide = len(tokens) > NARROW
+    return bytes([4 if wide else 2]) + ((tokens >> U(32)).astype(np.uint32) if wide else (tokens >> U(48)).astype(np.uint16)).tobytes()
+
+
+def share(a: bytes, b: bytes) -> bool:
+    """Whether two narrowed sets may have a token in common: never False if they have."""
+    x, y = (np.frombuffer(c, np.uint16 if c[0] == 2 else np.uint32, offset=1) for c in (a, b))
+    if x.dtype != y.dtype:
+        x, y = (c if c.itemsize == 2 else (c >> np.uint32(16)).astype(np.uint16) for c in (x, y))
+    return len(np.intersect1d(x, y)) > 0
+
+
 def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count: np.ndarray) -> DataFrame:
-    """keyed docs -> (doc_id, k1, k2, digest, size, first array<bigint>, second array<int>, third array<int>) of those with words.
+    """keyed docs -> (doc_id, k1, k2, digest, size, first array<bigint>, second binary, third binary) of those with words.
 
-    The second and third hold 32 bits of each token: equal tokens stay equal, and that is all a filter needs."""
+    The second and third are narrowed."""
     shared = docs.sparkSession.sparkContext.broadcast((often, count))  # at most TABLE tokens
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +178,14 @@ def prefixes(docs: DataFrame, n: int, p: int, q: int, often: np.ndarray, count:
                 sizes.append(len(found))
                 for order in range(3):
                     first = by_order(found, order, known, times)[: prefix_size(len(found), p, q)]
-                    cut[order].append((first >> U(32)).astype(np.uint32).view(np.int32) if order else _signed(first))
+                    cut[order].append(narrowed(first) if order else _signed(first))
             at = pa.array(named, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("doc_id", "k1", "k2")), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(cut[0], pa.int64()), _lists(cut[1], pa.int32()), _lists(cut[2], pa.int32())],
+                [*(batch.column(c).take(at) for c in ("doc_id", "k1", "k2")), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), _lists(cut[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cut[1:])],
                 names=["doc_id", "k1", "k2", "digest", "size", "first", "second", "third"],
             )
 
-    return map_arrow(docs.filter("doc_id IS NOT NULL"), batches, "doc_id bigint, k1 bigint, k2 bigint, digest binary, size bigint, first array<bigint>, second array<int>, third array<int>")
+    return map_arrow(docs.filter("doc_id IS NOT NULL"), batches, "doc_id bigint, k1 bigint, k2 bigint, digest binary, size bigint, first array<bigint>, second binary, third binary")
 
 
 def classes(prefixed: DataFrame) -> DataFrame:
@@ -189,13 +209,14 @@ def texts_of(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     return by_ids(texts, "key", again, "left_anti", KEYS).unionByName(held)
 
 
-def postings(named: DataFrame, often: np.ndarray, count: np.ndarray) -> DataFrame:
-    """(token, cid, size, pos, crowd): prefix tokens of two classes or more, with the number of classes.
+def postings(named: DataFrame, often: np.ndarray, count: np.ndarray, part: int = 0, parts: int = 1) -> DataFrame:
+    """(token, cid, size, pos, crowd): prefix tokens of two classes or more, with the number of classes. Of parts that
+    have all tokens between them, the one of this number.
 
     Tokens known to be frequent are counted by partial sums and joined back; the others, of which no run had
     more than a few, are counted in a window."""
     spark = named.sparkSession
-    every = named.select("cid", "size", F.posexplode("first").alias("pos", "token"))
+    every = named.select("cid", "size", F.posexplode("first").alias("pos", "token")).filter(F.pmod("token", F.lit(parts)) == part)
     hot = spark.createDataFrame([(int(t),) for t, n in zip(_signed(often), count, strict=True) if n > CROWD], "token bigint")
     apart = every.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "token", "left")  # at most TABLE rows
     cold = apart.filter("hot is null").withColumn("crowd", F.count(F.lit(1)).over(Window.partitionBy("token")))
@@ -221,7 +242,14 @@ def filtered(candidates: DataFrame, live: DataFrame) -> DataFrame:
     x = live.select(F.col("cid").alias("x"), F.col("second").alias("x2"), F.col("third").alias("x3"))
     y = live.select(F.col("cid").alias("y"), F.col("second").alias("y2"), F.col("third").alias("y3"))
     both = candidates.join(x, "x").join(y, "y")
-    return both.filter(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y")
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ends = zip(*(batch.column(c).to_pylist() for c in ("x2", "y2", "x3", "y3")), strict=True)
+            mask = pa.array([share(x2, y2) and share(x3, y3) for x2, y2, x3, y3 in ends], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("x", "y")], names=["x", "y"])
+
+    return map_arrow(both, batches, "x bigint, y bigint")
 
 
 def oriented(candidates: DataFrame) -> DataFrame:
@@ -233,6 +261,20 @@ def oriented(candidates: DataFrame) -> DataFrame:
     return both.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("home"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows of longs and a text, which becomes its bytes (zstd) and their number: Spark's shuffles compress texts less."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in stream:
+            texts = list(utf8_views(batch.column("text")))
+            columns = [*(batch.column(c) for c in names), pa.array(map(len, texts), pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "length", "packed"])
+
+    return map_arrow(rows.select(*names, "text"), batches, ", ".join(f"{c} bigint" for c in [*names, "length"]) + ", packed binary")
+
+
 def verified(at_home: DataFrame, named: DataFrame, texts: DataFrame, n: int, p: int, q: int, scratch: list[DataFrame]) -> DataFrame:
     """Candidates (home, other) whose full sets have a similarity of P / Q or more, as (u, v).
 
@@ -244,15 +286,17 @@ def verified(at_home: DataFrame, named: DataFrame, texts: DataFrame, n: int, p:
     guests = written(at_home.join(homes.drop("id"), "home").withColumn("run", F.pmod(F.xxhash64("other"), F.col("runs"))).drop("runs").join(key("other", "id"), "other"), "guests")
     scratch += [homes, guests]
     invited = by_ids(texts, "key", guests, "inner", KEYS).select("home", "run", "other", "text")
-    hosts = by_ids(texts, "key", homes, "inner", KEYS).select("home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"), F.lit(None).cast("bigint").alias("other"), "text")
+    invited = packed(invited).select("home", "run", "other", "length", "packed")
+    hosts = packed(by_ids(texts, "key", homes, "inner", KEYS).select("home", "runs", "text"))
+    hosts = hosts.select("home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)).alias("run"), F.lit(None).cast("bigint").alias("other"), "length", "packed")
     runs = hosts.unionByName(invited).repartition("home", "run").sortWithinPartitions("home", "run", F.col("other").asc_nulls_first()).drop("run")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, np.uint64)
+        own, codec = np.empty(0, np.uint64), pa.Codec("zstd")
         for batch in stream:
             homes, others, kept = batch.column("home"), batch.column("other"), []
-            for other, view in zip(others.to_pylist(), utf8_views(batch.column("text")), strict=True):
-                found = tokens(view, n)
+            for other, length, held in zip(others.to_pylist(), batch.column("length").to_pylist(), batch.column("packed"), strict=True):
+                found = tokens(np.frombuffer(codec.decompress(held.as_buffer(), length), np.uint8), n)
                 if other is None:
                     own = found
                 shared = 0 if other is None else len(np.intersect1d(own, found, assume_unique=True))
@@ -324,9 +368,10 @@ def crowd_step(members: DataFrame, sets: DataFrame, p: int, q: int) -> CrowdStep
 def links(named: DataFrame, texts: DataFrame, often: np.ndarray, count: np.ndarray, n: int, p: int, q: int) -> DataFrame:
     """(u, v): links between classes from which all links' components follow, each of them verified or proven.
     named: classes, a written table, less copies; texts: (key, text)."""
-    posted = written(postings(named, often, count), "postings")
-    couples = [written(pairs(posted.filter(F.col("crowd") <= CROWD), p, q), "pairs")]
-    scratch, stars = [posted, *couples], []
+    scratch = [written(postings(named, often, count, part, PARTS), "postings") for part in range(PARTS)]
+    posted = reduce(DataFrame.unionByName, scratch)
+    couples, stars = [written(pairs(posted.filter(F.col("crowd") <= CROWD), p, q), "pairs")], []
+    scratch += couples
     members = posted.filter(F.col("crowd") > CROWD).select(F.col("token").alias("crowd"), "cid")
     while True:
         # crowds of the same classes are one

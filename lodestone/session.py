@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -65,10 +67,23 @@ def scratch() -> Iterator[None]:
         discard(*held)
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed within are deleted at its end; the session's own setting comes back."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: evaluated once, and survives lost executors."""
+    """df as a Parquet table in the shared folder, read again: evaluated once, and survives lost executors. The table
+    takes the place of the shuffles on its way, whose files go."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     around = _scopes[:-1] if lasting else _scopes

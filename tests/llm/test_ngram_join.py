@@ -127,3 +127,24 @@ def test_copies_are_found_without_moving_prefixes(spark):
     assert sorted((r["doc_id"], r["size"]) for r in named.collect()) == [(1, 2), (2, 1)]
     plan = named.select("cid", "first", "second")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_narrowed_sets_never_lose_a_common_token():
+    rng = np.random.default_rng(3)
+    sizes = (1, 40, ngram_join.NARROW, ngram_join.NARROW + 1, 300)
+    for a in sizes:
+        for b in sizes:
+            x, y = (rng.integers(0, 2**64, n, np.uint64) for n in (a, b))
+            y[-1] = x[0]
+            assert ngram_join.share(ngram_join.narrowed(x), ngram_join.narrowed(y))
+    apart = [np.array([t << 48], np.uint64) for t in (1, 2)]
+    assert not ngram_join.share(*map(ngram_join.narrowed, apart))
+
+
+def test_parts_of_postings_are_all_postings(spark):
+    rows = [(1, 3, [5, -7, 9]), (2, 3, [9, -7, 11]), (3, 2, [-7, 12])]
+    named = spark.createDataFrame(rows, "cid bigint, size bigint, first array<bigint>")
+    often, count = np.array([9], np.uint64), np.array([1000])
+    whole = sorted(ngram_join.postings(named, often, count).collect())
+    assert len(whole) == 5
+    assert sorted(r for part in range(3) for r in ngram_join.postings(named, often, count, part, 3).collect()) == whole

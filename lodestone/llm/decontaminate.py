@@ -17,6 +17,10 @@ BROADCAST_ROWS. Beyond that, joins are shuffled: of documents, only (key, place,
 adaptive execution splits where a shingle is frequent, and places that a window may begin at join back to the texts by
 key, broadcast up to KEYS texts.
 
+Tables on the way are written by as many tasks as there are cores (TASKS at least), each of which sums its shuffle
+partitions in turn. A file a partition can be hundreds of files of a few rows, and where Hadoop lacks its native library,
+an executor starts processes (chmod) for each file in a local folder.
+
 A text is known by a key of 128 bits of hash, so rows are judged by their own text, whatever their ids.
 
 Defined results: null or empty text has no words, and such an item no windows; repeated items count as items of
@@ -36,6 +40,8 @@ WINDOW, SHINGLE = 13, 3
 BROADCAST_ROWS = 500_000
 #: Texts with places to compare (some 200 bytes each) up to which these are broadcast.
 KEYS = 200_000
+#: Tasks, and so files, of a table on the way, unless the cluster has more cores.
+TASKS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -78,6 +84,11 @@ def _shingles_of(table: DataFrame, tokens: str, lengths: list[int], *kept: str)
     return placed.select(*kept, "at", F.explode(F.array(*runs)).alias("shingle")).filter("shingle IS NOT NULL")
 
 
+def _gathered(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """df, written by few tasks. Its last stage reads a table or sums by key, so none of its partitions is a skewed join's."""
+    return written(df.coalesce(max(TASKS, df.sparkSession.sparkContext.defaultParallelism)), name, lasting=lasting)
+
+
 def _sized(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
@@ -91,23 +102,23 @@ def prefixes(texts: DataFrame, wanted: DataFrame, lengths: list[int], scratch: l
     for n in lengths:  # at most SHINGLE
         each = _shingles_of(of.filter(own == n), "tokens", [n], "h1", "h2", "size")
         vocabulary = each if vocabulary is None else vocabulary.unionByName(each)
-    vocabulary = written(vocabulary, "vocabulary")
-    known = written(vocabulary.select("shingle").distinct(), "shingles")
+    vocabulary = _gathered(vocabulary, "vocabulary")
+    known = _gathered(vocabulary.select("shingle").distinct(), "shingles")
     rows, every = known.count(), _shingles_of(texts, "w", lengths).select("shingle")
     count = F.count(F.lit(1)).alias("df")
     # a vocabulary that can't be broadcast meets sums, not rows
     frequency = every.join(F.broadcast(known), "shingle").groupBy("shingle").agg(count) if rows <= BROADCAST_ROWS else every.groupBy("shingle").agg(count).join(known, "shingle")
-    frequency = written(frequency, "frequencies")
+    frequency = _gathered(frequency, "frequencies")
     first = vocabulary.join(_sized(frequency, rows), "shingle", "left").groupBy("h1", "h2", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "at")).alias("p"))
     scratch += [vocabulary, known, frequency]
-    return written(first.filter("p.df > 0").select(F.col("p.shingle").alias("shingle"), F.col("p.at").alias("lead"), "size", "h1", "h2"), "prefixes")
+    return _gathered(first.filter("p.df > 0").select(F.col("p.shingle").alias("shingle"), F.col("p.at").alias("lead"), "size", "h1", "h2"), "prefixes")
 
 
 def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """texts (k1, k2, w), w being words -> (k1, k2, item_id, start, size), a written table: every occurrence of an item's
     window in a text. Equal texts are one."""
     h1, h2 = _window_hash(F.col("tokens"))
-    wanted = written(windows(benchmark, window).withColumns({"h1": h1, "h2": h2}), "windows")
+    wanted = _gathered(windows(benchmark, window).withColumns({"h1": h1, "h2": h2}), "windows")
     lengths = sorted(r["n"] for r in wanted.select(F.least("size", F.lit(SHINGLE)).alias("n")).distinct().collect())  # at most SHINGLE rows
     scratch = [wanted]
     if not lengths:
@@ -123,14 +134,14 @@ def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         every = _shingles_of(texts.withColumn("n", F.size("w")), "w", lengths, "k1", "k2", "n")
         may = every.join(first, "shingle").select("k1", "k2", "n", begin, "size", "h1", "h2").filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
         may = may.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "size", "h1", "h2")).alias("places"))
-        may = written(may.select(F.struct("k1", "k2").alias("id"), "places"), "places")  # at most a text's words have windows
+        may = _gathered(may.select(F.struct("k1", "k2").alias("id"), "places"), "places")  # at most a text's words have windows
         scratch.append(may)
         met = by_ids(texts.withColumn("key", F.struct("k1", "k2")), "key", may, "inner", KEYS).select("k1", "k2", "w", F.inline("places"))
     fits = (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w"))
     alike = [F.when(fits, a).otherwise(F.lit(None)) == F.col(b) for a, b in zip(_window_hash(found), ("h1", "h2"), strict=True)]
     hits = met.filter(fits & alike[0] & alike[1]).select("k1", "k2", "start", "size", "h1", "h2", found.alias("tokens"))
     same = wanted.drop("size").withColumnRenamed("tokens", "words")
-    named = written(hits.join(same, ["h1", "h2"]).filter("tokens = words").select("k1", "k2", "item_id", "start", "size").distinct(), "occurrences")
+    named = _gathered(hits.join(same, ["h1", "h2"]).filter("tokens = words").select("k1", "k2", "item_id", "start", "size").distinct(), "occurrences")
     discard(*scratch)
     return named
 
@@ -145,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
         items = hits.groupBy("k1", "k2").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
         listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")
         both = covered.join(items, ["k1", "k2"]).select(F.struct("k1", "k2").alias("id"), "n_hit", F.size("items").alias("n_items"), listed)
-        judged = written(both, "judged", lasting=True)
+        judged = _gathered(both, "judged", lasting=True)
     counted = keyed.select(key, F.struct("k1", "k2").alias("_text"), F.size("w").cast("bigint").alias("n_words"))
     joined = by_ids(counted, "_text", judged, "left", KEYS)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")

@@ -100,3 +100,33 @@ def test_shuffled_joins_move_no_texts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "shingle" in moved["frequencies"] and "shingle" in moved["places"]
     assert not (moved["frequencies"] | moved["places"]) & {"w", "text", "tokens"}
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_few_files_of_many_partitions(spark, monkeypatch, limit):
+    """Tables on the way have no file for each of 211 shuffle partitions; the result is the same."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    files = {}
+    real = decontaminate.written
+
+    def written(df, name, **more):
+        out = real(df, name, **more)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "written", written)
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    docs = spark.createDataFrame(documents(), "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = decontaminate.contamination(docs, items).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = max(16, spark.sparkContext.defaultParallelism)
+    assert {"windows", "shingles", "frequencies", "prefixes", "occurrences", "judged"} <= set(files)
+    assert {k: n for k, n in files.items() if n > most} == {}
+    same(got, ask(SQL, documents=docs.toPandas(), benchmark=items.toPandas()))
